@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import byte_bpe, pii, quality, sharding, warc
+from . import byte_bpe, decontamination, pii, quality, sharding, warc
 
-MODULES = (byte_bpe, pii, quality, sharding, warc)
+MODULES = (byte_bpe, decontamination, pii, quality, sharding, warc)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
