@@ -144,25 +144,28 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, offset, record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, body (after the record's header block)."""
+    """One row per record: file, block, k (its place), record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, body (after the record's header block).
+
+    Texts move only for the exceptions, pieces that are no whole record; all others are records as they were scanned.
+    """
     chunks = candidates(spark, path)
     links = common.stored(located(chunks).select("file", "block", "k", "offset", "successor", "bytes"), "links")
     good = common.stored(reachable(links), "good")
-    # A record is whole if its only piece is the one that starts it; the others gather the pieces up to the next record.
     where = links.join(good.withColumn("good", F.lit(True)), ["file", "offset"], "left")
-    order = Window.partitionBy("file").orderBy("offset")
-    mixed = where.filter("offset >= 0").withColumn("start", F.max(F.when(F.col("good"), F.col("offset"))).over(order))
-    pieces = common.stored(mixed.filter("start is not null").select("file", "block", "k", "offset", "start", (F.col("good").isNull() | (F.col("offset") + len(MAGIC) + F.col("bytes") < F.max(F.when(F.col("good"), F.col("successor"))).over(Window.partitionBy("file", "start")))).alias("part")), "pieces")
-    broken = pieces.filter("part").select("file", "start").distinct()
-    marked = pieces.join(common.if_small(broken.withColumn("broken", F.lit(True)), 20_000), ["file", "start"], "left")
-    texts = chunks.select("file", "block", "k", "value").join(common.if_small(marked.select("file", "block", "k", "offset", "start", F.coalesce("broken", F.lit(False)).alias("broken")), 1000), ["file", "block", "k"])
-    whole = texts.filter("not broken").select("file", "offset", F.col("value").alias("record"))
-    joined = texts.filter("broken").groupBy("file", F.col("start").alias("start")).agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("p")).select("file", F.col("start").alias("offset"), F.array_join("p.value", MAGIC).alias("record"))
+    order, same = Window.partitionBy("file").orderBy("offset"), Window.partitionBy("file", "start")
+    placed = where.withColumn("start", F.max(F.when(F.col("good") & (F.col("offset") >= 0), F.col("offset"))).over(order))
+    part = F.col("good").isNull() | (F.col("offset") + len(MAGIC) + F.col("bytes") != F.max(F.when(F.col("good"), F.col("successor"))).over(same)) | (F.count(F.lit(1)).over(same) > 1)
+    odd = placed.withColumn("part", part | F.col("start").isNull()).filter("part").select("file", "block", "k", "offset", "start", F.lit(True).alias("odd"))
+    texts = chunks.select("file", "block", "k", "value").join(common.if_small(common.stored(odd, "exceptions"), 50_000), ["file", "block", "k"], "left")
+    whole = texts.filter("odd is null").select("file", "block", "k", F.col("value").alias("record"))
+    # A broken record is its own piece and those up to the next record; what stands before a file's first record belongs to none.
+    gathered = texts.filter("odd and start is not null").groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "block", "k", "value"))).alias("p"))
+    joined = gathered.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["k"].alias("k"), F.array_join("p.value", MAGIC).alias("record"))
     records = whole.unionByName(joined).withColumn("head", F.substring_index("record", END, 1))
     length = header("Content-Length").cast("int")
     raw = F.substring(F.col("record").cast("binary"), F.octet_length("head") + len(END) + 1, length)
     return records.select(
-        "file", "offset", header("WARC-Record-ID").alias("record_id"), header("WARC-Type").alias("record_type"), header("WARC-Target-URI").alias("target_uri"),
+        "file", "block", "k", header("WARC-Record-ID").alias("record_id"), header("WARC-Type").alias("record_type"), header("WARC-Target-URI").alias("target_uri"),
         F.regexp_replace(header("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), header("X-Payload-Length").cast("long").alias("payload_bytes"),
         header("WARC-Refers-To").alias("refers_to"), raw.alias("body"),
     )
