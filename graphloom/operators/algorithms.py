@@ -448,7 +448,8 @@ def cycles(graph: PropertyGraph) -> DataFrame:
 # op: A19
 def reference_cycles(graph: PropertyGraph) -> DataFrame:
     """Cycles among DEFINITION nodes along REF edges."""
-    return cycles(graph.subgraph(("DEFINITION",), ("REF",))).withColumn("level", F.lit("symbol"))
+    files = F.array_distinct(F.transform("path", lambda x: F.substring_index(x, "#", 1)))
+    return cycles(graph.subgraph(("DEFINITION",), ("REF",))).withColumn("level", F.lit("symbol")).withColumn("cross_file", F.size(files) > 1)
 
 
 # op: A18

@@ -1,0 +1,40 @@
+"""Literal inputs shared by tests: a JavaScript project and JSON Schemas."""
+
+JS = {
+    "a.mjs": """import { createStore, helper as h } from './lib/store.mjs'
+import def from './b.mjs'
+import * as ns from './lib/index.mjs'
+import { z } from './missing.mjs'
+export function main(x, y = 1) {
+  const s = createStore()
+  s.save(x)
+  h(y)
+  ns.util()
+  if (x && y) return def(x)
+  return s
+}
+""",
+    "b.mjs": """import { hidden, createStore } from './lib/store.mjs'
+import { main } from './a.mjs'
+const t = createStore()
+export default function run() { hidden(1); return main }
+""",
+    "lib/index.mjs": """export { helper as util } from './store.mjs'
+export class Base { go() { return 1 } }
+export class Kid extends Base { stop() {} }
+""",
+    "lib/store.mjs": """export function createStore() {
+  return { save, load }
+}
+function save(v) { return hidden(v) }
+function load() { return null }
+function hidden(v) { return v }
+export const helper = (q) => q ? 1 : 0
+""",
+}
+
+SCHEMAS = {
+    "hub.json": '{"$schema":"x","definitions":{"Root":{"properties":{"a":{"$ref":"schema/a.json#/definitions/A"},"bs":{"type":"array","items":{"$ref":"schema/b.json#/definitions/B"}}}}}}',
+    "schema/a.json": '{"definitions":{"A":{"type":"object","properties":{"b":{"$ref":"b.json#/definitions/B"}},"required":["b"]},"Dead":{"type":"string"}}}',
+    "schema/b.json": '{"definitions":{"B":{"oneOf":[{"$ref":"a.json#/definitions/A"},{"$ref":"#/definitions/Gone"}]},"Dead":{"type":"null"}}}',
+}
