@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import byte_bpe, common, decontamination, language_id, near_dedup, pii
 
@@ -29,11 +30,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (packed tokens), decoded text and the digests of both."""
-    from pyspark.sql import functions as F
-
     rows = byte_bpe.encoded(docs.select("doc_id", "lang", "source", "text"), *byte_bpe.public_vocabulary(), keep=("doc_id", "lang", "source"))
     return rows.select(
-        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", F.lit("UTF-8")).alias("text"),
+        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
