@@ -27,10 +27,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
+#: The pattern for which texts may be cut at single blanks and line ends.
+PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of a leaf of the tree.
-LEAF = 8
-#: Pieces whose encodings a worker remembers before it starts afresh.
+LEAF = 16
+#: Encodings in each of the two generations that a worker remembers.
 REMEMBERED = 400_000
+#: The rank of no token.
+NONE = 1 << 60
+
+
+class Memory(dict):
+    """Encodings by text, of which those used since the last change of generations survive the next."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
 
 
 class Bpe:
@@ -42,7 +65,10 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.remembered: dict[str, bytes] = {}
+        self.pieces, self.starts, self.spaced = Memory(self.piece), Memory(self.matches), Memory(lambda w: self.matches(" " + w))
+        self.uneven = regex.compile(r"\s\s|[^\S \n]")
+        self.line_end = self.matches("\n")
+        self.plain = pattern == PLAIN  # the cuts of encode() are proven for this pattern only
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -53,16 +79,16 @@ class Bpe:
         """Plain merging: again and again the neighbours whose union has the lowest rank, the leftmost first."""
         if len(data) > 64:
             return self.merged_by_heap(data)
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                rank = self.ranks.get(parts[k] + parts[k + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get = [data[k : k + 1] for k in range(len(data))], self.ranks.get
+        ranks = [get(data[k : k + 2], NONE) for k in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) != NONE:
+            k = ranks.index(best)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(parts[k] + parts[k + 1], NONE)
+            if k:
+                ranks[k - 1] = get(parts[k - 1] + parts[k], NONE)
         return parts
 
     def merged_by_heap(self, data: bytes) -> list[bytes]:
@@ -116,23 +142,24 @@ class Bpe:
         tokens = [data] if data in self.ranks else self.tree(data)
         return np.array([self.ranks[t] for t in tokens], "<u4").tobytes()
 
+    def matches(self, text: str) -> bytes:
+        """The packed ids of text, match by match."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def line(self, words: list[str]) -> bytes:
+        """The packed ids of words with single blanks between them."""
+        return self.starts[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
+
     def encode(self, text: str) -> bytes:
-        """The packed ids of a whole text."""
-        known, parts = self.remembered, []
-        try:
-            return b"".join(map(known.__getitem__, self.pattern.findall(text)))
-        except KeyError:
-            pass
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.piece(piece)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        """The packed ids of a whole text.
+
+        No match of the pattern reaches over a blank or line end that stands alone between other characters: a blank
+        begins the match after it, a line end is a match of its own. So texts whose white space is all of this kind are
+        cut there, and words already met are looked up. All others are matched as a whole.
+        """
+        if not self.plain or self.uneven.search(text):
+            return self.matches(text)
+        return self.line_end.join([self.line(x.split(" ")) for x in text.split("\n")])
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids, concatenated up a tree over runs of tokens."""
