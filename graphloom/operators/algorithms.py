@@ -149,19 +149,14 @@ def hits(graph: PropertyGraph, max_iter: int = 100, tol: float | None = 1e-6) ->
     n = nodes.count()
     pairs = storage.stored(graph.without_phantoms().edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "pairs")
     state = nodes.select("id", F.lit(1.0 / n if n else 0.0).alias("hub"), F.lit(1.0 / n if n else 0.0).alias("authority"))
-
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        norm = df.agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias("norm"))
-        return df.crossJoin(F.broadcast(norm)).withColumn(name, F.col(name) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).drop("norm")
-
-    for turn in range(max_iter):
+    for _ in range(max_iter):
         auth = state.select(F.col("id").alias("src"), "hub").join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hub") * F.col("m")).alias("a"))
         hub = auth.select(F.col("id").alias("dst"), "a").join(pairs, "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("a") * F.col("m")).alias("h"))
-        new = state.select("id", F.col("hub").alias("old_hub"), F.col("authority").alias("old_authority")).join(auth, "id", "left").join(hub, "id", "left")
-        new = new.select("id", "old_hub", "old_authority", F.coalesce("a", F.lit(0.0)).alias("authority"), F.coalesce("h", F.lit(0.0)).alias("hub"))
-        new = unit(unit(new, "authority"), "hub")
-        if tol is not None or turn % 2 == 1:
-            new = storage.stored(new, "hits")
+        new = state.withColumnsRenamed({"hub": "old_hub", "authority": "old_authority"}).join(auth, "id", "left").join(hub, "id", "left")
+        new = storage.stored(new.na.fill(0.0, ["a", "h"]), "hits")
+        # Only the two lengths come to the driver; they are constants of the next round's plan.
+        norm = new.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("a"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("h")).first()
+        new = new.select("id", "old_hub", "old_authority", (F.col("h") / F.lit(norm.h or 1.0)).alias("hub"), (F.col("a") / F.lit(norm.a or 1.0)).alias("authority"))
         state = new.select("id", "hub", "authority")
         if tol is not None:
             moved = new.agg(F.max(F.greatest(F.abs(F.col("hub") - F.col("old_hub")), F.abs(F.col("authority") - F.col("old_authority"))))).first()[0]

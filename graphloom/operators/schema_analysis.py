@@ -10,7 +10,7 @@ from . import algorithms as A
 
 #: Definitions whose name holds this are roots and never dead.
 ROOT_NAME = "AnalysisResult"
-#: Path prefixes of schema files and the blocks that they belong to.
+# Path prefixes of schema files and the blocks that they belong to.
 BLOCKS = (("schema/graph/", "graph"), ("schema/acorn/", "parse"), ("schema/parse/", "parse"), ("schema/analysis/", "analysis"), ("schema/query/", "query"), ("schema/output/", "output"), ("schema/tool/", "tool"), ("schema/cli/", "cli"))
 
 

@@ -98,3 +98,9 @@ def _top_level(schema: str) -> list[str]:
         else:
             now += c
     return [*out, now]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all that stored() wrote to the shared folder. Results that were not yet computed are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "graphloom"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

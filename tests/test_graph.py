@@ -150,3 +150,13 @@ def test_degree_stream(spark, tmp_path):
     stream = spark.readStream.schema("src string, dst string").parquet(str(tmp_path / "in"))
     refresh.degree_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert as_map(refresh.degrees(spark, str(tmp_path / "out"))) == {"a": (0, 1, 1), "b": (1, 1, 2), "c": (1, 0, 1)}
+
+
+def test_clean_up(spark):
+    import pathlib
+
+    storage.stored(spark.range(3))
+    at = pathlib.Path(storage.shared_dir(spark).removeprefix("file://")) / "graphloom"
+    assert at.exists()
+    storage.clean_up(spark)
+    assert not at.exists()
