@@ -20,6 +20,12 @@ from ..graph import PropertyGraph, owner
 
 #: Edges that a broadcast adjacency may have.
 ADJACENCY_EDGES = 5_000_000
+#: Edges up to which a loop's rounds cost more in scheduling than in work, so that one task does them all.
+SMALL_EDGES = 50_000
+
+
+def is_small(graph: PropertyGraph, small: int) -> bool:
+    return small > 0 and graph.edges.limit(small + 1).count() <= small
 
 
 def adjacency(graph: PropertyGraph, limit: int = ADJACENCY_EDGES) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -115,8 +121,24 @@ def closeness_of(distances: DataFrame, n: int) -> DataFrame:
 
 
 # op: A2
-def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, phantoms: str = "drop") -> DataFrame:
-    """id, pagerank. Stops once no rank moves by tol; tol=None runs max_iter rounds. phantoms='keep' counts edges to unknown nodes in the out-degree."""
+def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, phantoms: str = "drop", small: int = SMALL_EDGES) -> DataFrame:
+    """id, pagerank. Stops once no rank moves by tol; tol=None runs max_iter rounds. phantoms='keep' counts edges to unknown nodes in the out-degree. Graphs of at most small edges are done in one task."""
+    if phantoms != "keep" and is_small(graph, small):
+
+        def work(ids, pairs):
+            n = len(ids)
+            src, dst = np.array(pairs, np.int64).reshape(-1, 2).T
+            deg = np.bincount(src, minlength=n)
+            x = np.full(n, 1.0 / max(n, 1))
+            for _ in range(max_iter):
+                new = (1 - alpha) / max(n, 1) + alpha * (np.bincount(dst, x[src] / deg[src], minlength=n) + x[deg == 0].sum() / max(n, 1))
+                moved = np.abs(new - x).max(initial=0.0)
+                x = new
+                if tol is not None and moved < tol:
+                    break
+            return list(zip(ids, x.tolist(), strict=True))
+
+        return storage.kernel(graph.nodes, graph.edges, work, "id string, pagerank double")
     nodes = storage.stored(graph.nodes.select("id").distinct(), "ids")
     n = nodes.count()
     links = graph.edges.select("src", "dst") if phantoms == "keep" else graph.without_phantoms().edges.select("src", "dst")
@@ -143,8 +165,26 @@ def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_iter: int = 100, tol
 
 
 # op: A7
-def hits(graph: PropertyGraph, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
-    """id, hub, authority, each summing to 1. Edges to unknown nodes are left out."""
+def hits(graph: PropertyGraph, max_iter: int = 100, tol: float | None = 1e-6, small: int = SMALL_EDGES) -> DataFrame:
+    """id, hub, authority, each summing to 1. Edges to unknown nodes are left out. Graphs of at most small edges are done in one task."""
+    if is_small(graph, small):
+
+        def work(ids, pairs):
+            n = len(ids)
+            src, dst = np.array(pairs, np.int64).reshape(-1, 2).T
+            hub = authority = np.full(n, 1.0 / max(n, 1))
+            for _ in range(max_iter):
+                a = np.bincount(dst, hub[src], minlength=n)
+                h = np.bincount(src, a[dst], minlength=n)
+                a, h = a / (np.sqrt((a * a).sum()) or 1.0), h / (np.sqrt((h * h).sum()) or 1.0)
+                moved = max(np.abs(a - authority).max(initial=0.0), np.abs(h - hub).max(initial=0.0))
+                hub, authority = h, a
+                if tol is not None and moved < tol:
+                    break
+            share = lambda x: x / x.sum() if x.sum() > 0 else np.zeros(n)
+            return list(zip(ids, share(hub).tolist(), share(authority).tolist(), strict=True))
+
+        return storage.kernel(graph.nodes, graph.edges, work, "id string, hub double, authority double")
     nodes = storage.stored(graph.nodes.select("id").distinct(), "ids")
     n = nodes.count()
     pairs = storage.stored(graph.without_phantoms().edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "pairs")
@@ -167,9 +207,46 @@ def hits(graph: PropertyGraph, max_iter: int = 100, tol: float | None = 1e-6) ->
     return state.crossJoin(F.broadcast(sums)).select("id", share("hub", "sh").alias("hub"), share("authority", "sa").alias("authority"))
 
 
+def _components_work(ids, pairs):
+    """Strong components by two depth-first searches: finishing order forwards, then gathering backwards."""
+    out, into, seen, order = [[] for _ in ids], [[] for _ in ids], set(), []
+    for a, b in pairs:
+        out[a].append(b)
+        into[b].append(a)
+    for root in range(len(ids)):
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(out[root]))]
+        while stack:
+            v, rest = stack[-1]
+            step = next((w for w in rest if w not in seen), None)
+            if step is None:
+                order.append(v)
+                stack.pop()
+            else:
+                seen.add(step)
+                stack.append((step, iter(out[step])))
+    home: dict[int, int] = {}
+    for root in reversed(order):
+        front = [] if root in home else [root]
+        while front:
+            v = front.pop()
+            if v not in home:
+                home[v] = root
+                front += into[v]
+    least: dict[int, str] = {}
+    for v, root in home.items():
+        least[root] = min(least.get(root, ids[v]), ids[v])
+    return [(x, least[home[k]]) for k, x in enumerate(ids)]
+
+
 # op: A3
-def strongly_connected(graph: PropertyGraph) -> DataFrame:
-    """id, component (its smallest id), size, by colouring: the smallest id that reaches a node is its colour; those of a colour that also reach that id are a component, which is taken out."""
+def strongly_connected(graph: PropertyGraph, small: int = SMALL_EDGES) -> DataFrame:
+    """id, component (its smallest id), size, by colouring: the smallest id that reaches a node is its colour; those of a colour that also reach that id are a component, which is taken out. Graphs of at most small edges are done in one task."""
+    if is_small(graph, small):
+        found = storage.kernel(graph.nodes, graph.edges, _components_work, "id string, component string")
+        return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("id", "component", "size")
     left = storage.stored(graph.nodes.select("id").distinct(), "left")
     links = storage.stored(graph.without_phantoms().edges.select("src", "dst").filter("src <> dst").distinct(), "links")
     done = None

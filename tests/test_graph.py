@@ -73,7 +73,7 @@ def test_against_naive_on_random_graphs(spark, seed):
     ids, dist = reach(pairs, n)
     assert {(r.seed, r.id): r.depth for r in T.bfs(g.edges, g.nodes.select("id")).collect()} == dist
     comp = {x: min(y for y in ids if (x, y) in dist and (y, x) in dist) for x in ids}
-    assert {r.id: r.component for r in A.strongly_connected(g).collect()} == comp
+    assert {r.id: r.component for r in A.strongly_connected(g).collect()} == comp == {r.id: r.component for r in A.strongly_connected(g, small=0).collect()}
     cyclic = {x for x in ids if any(comp[x] == comp[y] and x != y for y in ids)} | {a for a, b in pairs if a == b}
     assert {r.id for r in A.cyclic_nodes(g).collect()} == cyclic
     sigma = {}
@@ -88,6 +88,9 @@ def test_against_naive_on_random_graphs(spark, seed):
         close[s] = len(far) / (n - 1) * len(far) / sum(far) if far else 0
     assert as_map(A.closeness(g)) == pytest.approx(close)
     assert sum(as_map(A.pagerank(g)).values()) == pytest.approx(1)
+    assert as_map(A.pagerank(g, max_iter=6, tol=None, small=0)) == pytest.approx(as_map(A.pagerank(g, max_iter=6, tol=None)))
+    loop, task = as_map(A.hits(g, max_iter=4, tol=None, small=0)), as_map(A.hits(g, max_iter=4, tol=None))
+    assert all(loop[x] == pytest.approx(task[x]) for x in ids)
     for r in A.cycles(g).collect():
         assert all((a, b) in pairs for a, b in zip(r.path, [*r.path[1:], r.path[0]], strict=True))
     assert {r.id for r in A.louvain(g).collect()} == set(ids)
