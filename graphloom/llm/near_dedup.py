@@ -7,10 +7,14 @@ hash, and each coordinate keeps its dart of the smallest rank. Two sets agree on
 their weighted Jaccard similarity; here all weights are 1. Texts that agree on all ROWS coordinates of a band meet in a
 bucket: at a similarity of 0.8, one of the 20 bands holds both with a probability of 0.99997.
 
-Buckets are never paired out. First each member is compared with its bucket's pivot. Then, in the buckets whose members
-are still of several classes, members outside the bucket's largest class become pivots, ever more of them in a round,
-until each two members of a bucket are of one class or were compared. Every link is checked exactly on the texts
-(Jaccard similarity of the shingle sets at least 0.8). Classes are the components of the links.
+Buckets are never paired out. First each member is compared with the pivot of its bucket, and with those of the smaller
+buckets of texts that agree on two bands. In the buckets whose members are then still of several classes, shingles that
+no other such text has are counted: they bound the similarity of a pair from above, so most texts that are like none
+drop out, and the text with the fewest is the next pivot. Last, members outside a bucket's largest class are held
+against those of other classes, inside a join that keeps only pairs whose bound allows a similarity of 0.8. Pairs whose
+signatures agree on fewer than AGREED coordinates are dropped in these joins (at a similarity of 0.8, 6 of 100,000
+pairs; the last join has longer signatures for the few texts left). Every link is checked exactly on the texts (Jaccard similarity of the shingle sets at least 0.8). Classes are
+the components of the links.
 
 Defined cases: equal texts are of one class, whatever their number; a null text counts as empty, and empty texts, like
 all texts without words, are only like equal ones; a text of fewer than SHINGLE words is one shingle; the class id is
@@ -32,6 +36,10 @@ from .hashing import BASE, mixed, shingle_hashes
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDINATES = BANDS * ROWS
+#: Distances of the two bands of a smaller bucket, modulo BANDS; coordinates on which a pair must agree to be checked.
+SECOND, AGREED = (1,), 50
+#: The same for the longer signatures of the texts that are left after the first comparisons.
+FINE, FINE_AGREED = 256, 178
 
 
 def darts(elements: np.ndarray, weights: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +60,13 @@ def darts(elements: np.ndarray, weights: np.ndarray, theta: float) -> tuple[np.n
             rank = rank - np.log(((h >> np.uint64(11)) + 0.5) * 2.0**-53) / width
             near = rank <= theta
             h, rank, x = h[near], rank[near], x[near]
-            inside = base + width * ((mixed(h ^ BASE) >> np.uint64(11)) * 2.0**-53) < x
-            ids.append(h[inside])
-            ranks.append(rank[inside])
+            if (x < base + width).any():  # else the layer lies in the region as a whole
+                inside = base + width * ((mixed(h ^ BASE) >> np.uint64(11)) * 2.0**-53) < x
+                ids.append(h[inside])
+                ranks.append(rank[inside])
+            else:
+                ids.append(h)
+                ranks.append(rank)
             j += 1
         layer, base, width = layer + 1, base + width, max(1.0, base + width)
     return (np.concatenate(ids), np.concatenate(ranks)) if ids else (np.empty(0, np.uint64), np.empty(0))
@@ -72,7 +84,7 @@ def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int =
         out, order = np.zeros(k, np.uint64), np.argsort(-ranks, kind="stable")
         at = (mixed(ids) % np.uint64(k)).astype(np.int64)
         out[at[order]] = ids[order]  # the smallest rank comes last and stays
-        if len(np.unique(at)) == k:
+        if np.bincount(at, minlength=k).all():
             return out
         theta *= 2
 
@@ -85,6 +97,23 @@ def bands(sig: np.ndarray, n: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def lanes(sig: np.ndarray) -> list[int]:
+    """A signature of 8 bits a coordinate, packed in 64-bit numbers."""
+    return (mixed(sig) >> np.uint64(56)).astype(np.uint8).view(np.int64).tolist()
+
+
+def agreement(a, b, k: int = COORDINATES):
+    """Coordinates of k on which two packed signatures (array columns) agree: the bytes of their exclusive or that are 0."""
+
+    def unlike(x, y):
+        x = x.bitwiseXOR(y)
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
+
+    return F.lit(k) - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, x: n + x)
+
+
 def shingles(text: str) -> np.ndarray:
     return shingle_hashes(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8), SHINGLE)
 
@@ -105,28 +134,32 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """node, rep (smallest doc_id), keys (of the bands; empty without words): one row for each distinct text. Texts are not shuffled."""
+    """node, rep (smallest doc_id), keys (of the bands) and lanes (the packed signature; both empty without words): one row for each distinct text. Texts are not shuffled."""
     common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, packed = [], []
             for text in batch.column("text"):
                 sig = signature(shingles(text.as_py() or ""))
                 keys.append([] if sig is None else bands(sig).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+                packed.append([] if sig is None else lanes(sig))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))], ["doc_id", "node", "keys", "lanes"])
 
     rows = with_digest(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, keys array<long>").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, keys array<long>, lanes array<long>").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("lanes").alias("lanes"))
+
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of wanted (node, rep), stored. The one shuffle of texts; the doc_id is part of its key, so that a text of many copies does not gather them all."""
+    asked = wanted.select(F.col("node").alias("n2"), "rep")
+    both = with_digest(docs.select("doc_id", "text")).join(asked, (F.col("node") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    return common.stored(both.select("node", "text"), "texts")
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. pairs: distinct, narrow."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    # The doc_id is part of the key, so that a text of many copies does not gather them all.
-    texts = with_digest(docs.select("doc_id", "text")).join(wanted.withColumnRenamed("node", "n2"), (F.col("node") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    texts = common.stored(texts, "texts")
+
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, stored. pairs: distinct, narrow."""
     both = (
         pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
@@ -142,15 +175,29 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(similar(of_last, shingles(text_b.as_py() or "")))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return common.stored(both.mapInArrow(run, "a binary, b binary").distinct(), "links")
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """node, n (distinct shingles), own (those that no other of the texts has), fine (a longer packed signature)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py() or "").view(np.int64) for t in batch.column("text")]
+            fine = [lanes(signature(h.view(np.uint64), k=FINE)) if len(h) else [0] * (FINE // 8) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64()))], ["node", "hashes", "fine"])
+
+    sets = common.stored(texts.mapInArrow(run, "node binary, hashes array<long>, fine array<long>"), "shingles")
+    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    return sets.select("node", F.size("hashes").alias("n"), "fine").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), "fine")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, class: the smallest node that links (a, b) reach, for nodes of links. Smallest labels travel along links and jump over labels; each round is stored."""
-    edges = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = common.stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("class")), "labels")
+    edges = common.stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
+    labels = common.stored(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("class")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("m"))
+        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("class").alias("m"))
         moved = labels.join(near, "node").select("node", F.least("class", "m").alias("class"), F.col("class").alias("old"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
         now = common.stored(moved.join(jump, "class", "left").select("node", F.least("class", F.coalesce("further", "class")).alias("class"), "old"), "labels")
@@ -159,36 +206,76 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links, which join whole classes: components are found again only among the classes that they touch."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = ends.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a != b")
+    moved = components(both).select(F.col("node").alias("class"), F.col("class").alias("into"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti").withColumn("class", F.col("node"))
+    every = labels.select("node", "class").unionByName(fresh)
+    return common.stored(every.join(moved, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "labels")
+
+
+def starred(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (band, key, node) of buckets of several nodes, and the pairs of nodes with their bucket's pivot, the smallest node, that agree enough."""
+    pivots = rows.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pivots = pivots.join(nodes.select(F.col("node").alias("a"), F.col("lanes").alias("pl")), "a")
+    members = common.stored(rows.join(pivots, ["band", "key"]), "members")
+    its = nodes.select(F.col("node").alias("b"), "lanes")
+    near = members.filter("a != node").join(its, (F.col("node") == F.col("b")) & (agreement(F.col("lanes"), F.col("pl")) >= AGREED))
+    return members.select("band", "key", "node"), near.select("a", "b").distinct()
+
+
+def paired(distance: int):
+    """For transform: the bucket of a band's key together with that of the band at a distance."""
+    return lambda key, band: F.struct((band + distance * BANDS).alias("band"), F.xxhash64(key, F.element_at("keys", (band + distance) % BANDS + 1)).alias("key"))
+
+
+def in_several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, key, node, class, largest: the members of buckets of several classes, and each bucket's largest class."""
+    placed = members.select("band", "key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    sizes = placed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("c"))
+    several = sizes.groupBy("band", "key").agg(F.max_by("class", F.struct("c", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
+    return common.stored(placed.join(several, ["band", "key"]), "several")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """node, rep, class (a node) of each distinct text."""
     common.arrow_batches(docs.sparkSession)
     nodes = common.stored(signatures(docs), "signatures")
-    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    first = rows.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", "a")
-    members = common.stored(rows.join(first, ["band", "key"]), "members")
-    pairs = common.stored(members.filter("a != node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = common.stored(linked(pairs, nodes, docs), "links")
-    compared, labels, turn = pairs, components(links), 0
-    members = members.select("band", "key", "node")
-    while True:
-        # The buckets of several classes; in each, the share of the members outside the largest class that become pivots.
-        placed = members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        sizes = placed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"))
-        mixed_ = sizes.groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
-        members = common.stored(placed.join(mixed_, ["band", "key"]).withColumn("pivot", (F.col("class") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("total") - F.col("most")) < F.lit(2**turn))), "members")
-        pivots = members.filter("pivot").select("band", "key", F.col("node").alias("p"), F.col("class").alias("pc"))
-        new = members.join(pivots, ["band", "key"]).filter(F.col("class") != F.col("pc")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        new = common.stored(new.join(compared, ["a", "b"], "left_anti"), "pairs")
-        done = members.filter("not pivot")
-        if members.limit(1).count() == 0:
-            break
-        if new.limit(1).count():
-            found = common.stored(linked(new, nodes, docs), "links")
-            if found.limit(1).count():
-                links = links.union(found)
-                labels = components(links)
-            compared = compared.union(new)
-        members, turn = done.select("band", "key", "node"), turn + 1
+    members, pairs = starred(nodes.select("node", F.posexplode("keys").alias("band", "key")), nodes)
+    # Only texts that share a bucket at all can share a smaller one.
+    close = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    two = F.flatten(F.array(*[F.transform("keys", paired(d)) for d in SECOND]))
+    _, more = starred(close.select("node", F.explode(two).alias("k")).select("node", "k.band", "k.key"), close)
+    texts = texts_of(docs, close.select("node", "rep"))
+    compared = common.stored(pairs.union(more).distinct(), "pairs")
+    labels = components(linked(compared, texts))
+    # What is left: buckets of several classes, of which only texts with few shingles of their own can be like another.
+    several = in_several(members, labels)
+    own = own_shingles(texts.join(several.select("node").distinct(), "node", "left_semi"))
+    able = common.stored(own.filter("5 * own <= n").join(nodes.select("node", "keys"), "node"), "able")
+    several = several.join(able, "node")
+    pivots = several.groupBy("band", "key").agg(F.min_by(F.struct("node", "class", "n", "own"), F.struct("own", "node")).alias("p"))
+    allowed = lambda n, own, m, its: 9 * F.least(n - own, m - its) >= 4 * (n + m)
+    star = several.join(pivots, ["band", "key"]).filter((F.col("class") != F.col("p.class")) & allowed(F.col("n"), F.col("own"), F.col("p.n"), F.col("p.own")))
+    star = star.join(able.select(F.col("node").alias("pn"), F.col("fine").alias("pf")), (F.col("p.node") == F.col("pn")) & (agreement(F.col("fine"), F.col("pf"), FINE) >= FINE_AGREED))
+    new = star.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    new = common.stored(new, "pairs")
+    compared, labels = compared.union(new), grown(labels, linked(new, texts))
+    # Of any two members of different classes one is outside the largest.
+    open_ = common.stored(in_several(members, labels).join(able, "node"), "open")
+    outside = open_.filter(F.col("class") != F.col("largest")).select("band", "key", F.col("node").alias("p"), F.col("class").alias("pc"), F.col("fine").alias("pf"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("keys").alias("pk"))
+    first = F.array_position(F.zip_with("keys", "pk", lambda x, y: x == y), True) == F.col("m.band") + 1  # a pair counts in the first band that it shares
+    alike = (
+        (F.col("m.band") == F.col("o.band")) & (F.col("m.key") == F.col("o.key")) & (F.col("class") != F.col("pc")) & allowed(F.col("n"), F.col("own"), F.col("pn"), F.col("po"))
+        & first & (agreement(F.col("fine"), F.col("pf"), FINE) >= FINE_AGREED)
+    )
+    near = open_.alias("m").join(outside.alias("o"), alike).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    rest = common.stored(near.join(compared, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        labels = grown(labels, linked(rest, texts))
     return nodes.select("node", "rep").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
