@@ -4,9 +4,9 @@ The events of the standard library's parser are gathered into lines, one for eac
 are never an article (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments, by their tag, role, class or id) mark their lines as boilerplate. Each line has a text-to-tag ratio; boilerplate
 lines count as 0. The ratios are smoothed by a Gaussian kernel and split in two clusters by a threshold. Content
-regions are the article (or main, or else body) elements that hold a line above the threshold; of those, all lines that
-aren't boilerplate are kept, so that a short paragraph between long ones stays. Outside any article or main, the region
-runs from the first to the last line above the threshold.
+regions are the article (or main) elements that hold a line above the threshold; of those, all lines that aren't
+boilerplate are kept, so that a short paragraph between long ones stays. Where no line of an article or main is above it,
+the whole body is the region, less the lines that are mostly links.
 
 Defined cases: a null or empty html gives an empty text and 0 characters; markup without a closing tag ends with its
 container; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
@@ -32,9 +32,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea option input svg iframe object canvas audio video menu dialog label fieldset datalist".split())
 #: Words of a class, id or role that mark such elements.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices "
-    "overlay paywall popup print promo promotion recommended register related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookiebar cookies disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices "
+    "overlay paywall popup promo promotion recommended register related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar tracking widget".split()
 )
+#: First words of class names that say how a page is laid out, not what an element is.
+LAYOUT = frozenset("has with no without is layout page col row grid".split())
 #: Lines that the smoothing reaches, as the kernel's deviation.
 SIGMA = 1.0
 #: Elements that an opening block closes if they are open, and how far up they are looked for.
@@ -42,7 +44,7 @@ CLOSED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 
 
 class Lines(HTMLParser):
-    """Parser events as lines: [text parts, tags, boilerplate, region]. region: number of the enclosing article or main, 0 outside."""
+    """Parser events as lines: [text parts, tags, boilerplate, region, characters in links]. region: number of the enclosing article or main, 0 outside."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -59,7 +61,7 @@ class Lines(HTMLParser):
 
     def line(self) -> list:
         if self.now is None:
-            self.now = [[], 0, *self.state()]
+            self.now = [[], 0, *self.state(), 0]
             self.lines.append(self.now)
         return self.now
 
@@ -97,9 +99,10 @@ class Lines(HTMLParser):
             return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                if words & MARKS:
-                    return True
+                for one in value.split():
+                    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
+                    if words and words[0] not in LAYOUT and not MARKS.isdisjoint(words) and not (region and "header" in words):
+                        return True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 return True
         return False
@@ -124,14 +127,17 @@ class Lines(HTMLParser):
             self.cut()
 
     def handle_data(self, data):
-        self.line()[0].append(data)
+        line = self.line()
+        line[0].append(data)
+        if any(tag == "a" for tag, _, _ in self.open):
+            line[4] += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     r = int(np.ceil(3 * sigma))
     kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    padded = np.concatenate((np.zeros(r), ratios, np.zeros(r)))
-    return np.convolve(padded, kernel / kernel.sum(), "valid")
+    full = lambda x: np.convolve(np.concatenate((np.zeros(r), x, np.zeros(r))), kernel, "valid")
+    return full(ratios) / full(np.ones(len(ratios)))  # at the page's ends the kernel is cut
 
 
 def threshold(values: np.ndarray) -> float:
@@ -154,19 +160,19 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, bad, region) for parts, tags, bad, region in parser.lines]
+    lines = [(" ".join("".join(parts).split()), tags, bad, region, links) for parts, tags, bad, region, links in parser.lines]
     lines = [x for x in lines if x[0]]
-    if not any(not bad for _, _, bad, _ in lines):
+    if not any(not x[2] for x in lines):
         return ""
-    level = smoothed(np.array([0.0 if bad else len(text) / max(1, tags) for text, tags, bad, _ in lines]))
+    level = smoothed(np.array([0.0 if bad else len(text) / max(1, tags) for text, tags, bad, _, _ in lines]))
     above = level > threshold(level) * 0.999
-    good = np.array([not bad for _, _, bad, _ in lines])
+    good = np.array([not x[2] for x in lines])
     regions = {x[3] for x, up, ok in zip(lines, above, good, strict=True) if up and ok}
     if regions - {0}:
         keep = [ok and x[3] in regions and x[3] > 0 for x, ok in zip(lines, good, strict=True)]
     else:
-        inside = np.flatnonzero(above & good)
-        keep = [ok and len(inside) and inside[0] <= k <= inside[-1] for k, ok in enumerate(good)]
+        keep = [ok and 2 * x[4] < len(x[0]) for x, ok in zip(lines, good, strict=True)]
+        keep = keep if any(keep) else [up and ok for up, ok in zip(above, good, strict=True)]
     return "\n\n".join(x[0] for x, ok in zip(lines, keep, strict=True) if ok)
 
 
