@@ -1,11 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Terms are words and their beginnings of 4 to 6 letters. From a bounded sample of labelled rows (EXAMPLES rows, those
-with the smallest hash of doc_id) the terms that speak most for the label are kept (chi-square at least CHI, at most TERMS).
-Examples and documents are TF-IDF vectors over these terms. The examples' index has, for each block of BLOCK examples,
-the largest weight of each term; blocks are visited by falling upper bound until none can reach the K-th best, so the K
-nearest are exact. Their votes, weighted by distance, are calibrated by Platt's method on the examples, each scored
-without itself. Documents without any kept term get the smoothed rate of such examples.
+Terms are words and their beginnings of 4 to 6 letters. Every term that at least two examples hold counts, and every example
+of a bounded sample of labelled rows (EXAMPLES rows, those with the smallest hash of doc_id), clean or toxic. A term weighs
+its inverse document frequency times the size of its log odds between toxic and clean examples (at least LEAST), a ratio that
+does not grow with the number of rows; without it the many neutral words of a text drown the few that speak.
+The K nearest are exact: the terms of the longest posting lists have, for each block of BLOCK examples, their largest
+weight; the other terms are summed over their postings; blocks are visited by falling upper bound until none can reach the
+K-th best. Votes, weighted by distance, are calibrated by Platt's method on the examples, each scored without itself.
+Documents without any term get the smoothed rate of the examples.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0; doc_id, lang and source are not scored.
 
@@ -16,10 +18,11 @@ table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import platt
 
-EXAMPLES, TERMS, CHI = 12_000, 1024, 30.0
-BLOCK, K = 64, 15
+EXAMPLES, LEAST = 12_000, 0.01
+#: LONG: terms, those with most postings, whose weights are held as rows and bounded by blocks. VISITED: blocks visited at once.
+BLOCK, K, LONG, VISITED = 64, 15, 1024, 4
 #: Weight of the prior in a vote, in neighbours at distance 0.1.
 PRIOR = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -45,8 +49,8 @@ def terms_of(word: str) -> set[str]:
 class Index:
     """Vectors of examples with labels, searched exactly by blocks."""
 
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, dict[int, int], int]], empty: tuple[int, int]):
-        """rows: doc_id, counts by term number, label; empty: how many examples have no kept term, and how many of those are toxic."""
+    def __init__(self, idf: dict[str, float], rows: Iterable[tuple[int, dict[int, int], int]], empty: tuple[int, int]):
+        """idf: weights of the terms. rows: doc_id, counts by term number, label. empty: how many examples a text without any term is judged by, and how many of those are toxic."""
         self.terms = {t: k for k, t in enumerate(idf)}
         self.idf = np.array(list(idf.values()) or [0.0])
         self.words: dict[str, tuple[int, ...]] = {}
@@ -56,15 +60,25 @@ class Index:
         self.ids = np.array([r[0] for r in vectors], np.int64)
         self.y = np.array([r[3] for r in vectors], np.float64)
         self.blocks = -(-len(vectors) // BLOCK)
-        self.bound = np.zeros((len(idf), self.blocks), np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for n, (_, t, w, _) in enumerate(vectors):
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                lists[term].append((n, weight))
-                self.bound[term, n // BLOCK] = max(self.bound[term, n // BLOCK], weight)
-        self.at = [np.array([n for n, _ in x], np.int64) for x in lists]
-        self.weight = [np.array([w for _, w in x]) for x in lists]
-        self.cut = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a in self.at]
+        term = np.concatenate([r[1] for r in vectors] or [np.empty(0, np.int32)])
+        n = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(r[1]) for r in vectors])
+        weight = np.concatenate([r[2] for r in vectors] or [np.empty(0)])
+        ends = np.cumsum([len(r[1]) for r in vectors]).tolist()
+        vectors = [(i, term[e - len(t) : e], weight[e - len(t) : e], y) for (i, t, _, y), e in zip(vectors, ends, strict=True)]  # views, so that the numbers are held once
+        df = np.bincount(term, minlength=len(self.idf))
+        long = np.argsort(-df, kind="stable")[:LONG]
+        self.row = np.full(len(self.idf), -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.long = np.zeros((self.blocks * BLOCK, len(long)))
+        at = self.row[term] >= 0
+        self.long[n[at], self.row[term[at]]] = weight[at]
+        self.bound = self.long.reshape(self.blocks, BLOCK, len(long)).max(1)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.long, self.long))
+        term, n, weight = term[~at], n[~at], weight[~at]
+        order = np.argsort(term, kind="stable")
+        self.at, self.weight = n[order].astype(np.intp), weight[order]
+        del at, n, weight, order
+        self.cut = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(self.idf)))))
         self.a, self.b = 1.0, 0.0
         if len(vectors) >= 10 and 0 < self.y.sum() < len(vectors):
             s = np.array([self.logit(self.search(t, w, skip=n)) for n, (_, t, w, _) in enumerate(vectors)])
@@ -72,25 +86,37 @@ class Index:
         self.seen: dict = {}
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
+        t = np.array(sorted(counts), np.int32)
         w = (1 + np.log(np.array([counts[k] for k in t.tolist()], np.float64))) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine, as (cosine, example), ties by example."""
-        bounds = weights @ self.bound[terms]
+        is_long = self.row[terms] >= 0
+        q = np.zeros(self.long.shape[1])
+        q[self.row[terms[is_long]]] = weights[is_long]
+        start = self.cut[terms[~is_long]]
+        size = self.cut[terms[~is_long] + 1] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        short = np.bincount(self.at[at], np.repeat(weights[~is_long], size) * self.weight[at], minlength=len(self.long))
+        # Of an example the long terms add at most the product of the norms, and at most its block's largest weights.
+        least = (short + math.sqrt(q @ q) * self.norm).reshape(self.blocks, BLOCK).max(1)
+        bounds = np.minimum(least, short.reshape(self.blocks, BLOCK).max(1) + self.bound @ q)
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
+        for first in range(0, self.blocks, VISITED):
+            visit = order[first : first + VISITED]
+            visit = visit[(bounds[visit] > 0) & (bounds[visit] >= (best[-1][0] - 1e-12 if len(best) == k else 0))]
+            if not len(visit):
                 break
-            scores, base = np.zeros(BLOCK), block * BLOCK
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, b = self.cut[t][block], self.cut[t][block + 1]
-                if a < b:
-                    scores[self.at[t][a:b] - base] += w * self.weight[t][a:b]
-            if 0 <= skip - base < BLOCK:
-                scores[skip - base] = 0
-            best = sorted([*best, *((float(s), base + n) for n, s in enumerate(scores) if s > 0)], key=lambda x: (-x[0], x[1]))[:k]
+            for block in visit.tolist():
+                base = block * BLOCK
+                scores = short[base : base + BLOCK] + self.long[base : base + BLOCK] @ q
+                if 0 <= skip - base < BLOCK:
+                    scores[skip - base] = 0
+                hit = np.flatnonzero(scores >= best[-1][0] if len(best) == k else scores > 0)
+                if len(hit):
+                    best = sorted([*best, *((float(scores[n]), base + n) for n in hit.tolist() if scores[n] > 0)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def logit(self, near: list[tuple[float, int]]) -> float:
@@ -101,17 +127,17 @@ class Index:
         return math.log(p / (1 - p))
 
     def counts(self, text: str) -> dict[int, int]:
-        out: Counter = Counter()
+        out: dict[int, int] = {}
         known = self.words
-        for word in WORDS.findall(text.lower()):
+        for word, n in Counter(WORDS.findall(text.lower())).items():
             ids = known.get(word)
             if ids is None:
                 ids = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[word] = ids
-            if ids:
-                out.update(ids)
+            for k in ids:
+                out[k] = out.get(k, 0) + n
         return out
 
     def score(self, text: str) -> tuple[float, str]:
@@ -119,11 +145,12 @@ class Index:
         counts = self.counts(text)
         if not counts or not len(self.ids):
             return self.empty, ""
-        key = tuple(sorted(counts.items()))
+        terms, weights = self.vector(counts)
+        key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            near = self.search(*self.vector(counts))
+            near = self.search(terms, weights)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.logit(near) + self.b))))
             self.seen[key] = p, ",".join(f"{self.ids[n]}:{int(self.y[n])}:{s:.4f}" for s, n in near[:5])
         return self.seen[key]
@@ -155,13 +182,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
     n1, n = int(totals[0] or 0), int(totals[1])
     if not 0 < n1 < n:
         return Index({}, [], (n, n1))
-    df, expected = F.col("pos") + F.col("neg"), (F.col("pos") + F.col("neg")) * (n1 / n)
-    chi = (F.col("pos") - expected) ** 2 / expected + (F.col("pos") - expected) ** 2 / (df * ((n - n1) / n))
     kept = (
         rows.mapInArrow(frequencies, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter((F.col("pos") > expected) & (chi >= CHI)).orderBy(chi.desc(), "term").limit(TERMS).collect()
+        .filter("pos + neg >= 2").orderBy("term").toArrow()  # at most the terms of EXAMPLES texts
     )
-    idf = {r.term: math.log((1 + n) / (1 + r.pos + r.neg)) + 1 for r in kept}
+    pos, neg = kept.column("pos").to_numpy(), kept.column("neg").to_numpy()
+    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n - n1 + 1))
+    weights = (np.log((1 + n) / (1 + pos + neg)) + 1) * np.maximum(np.abs(odds), LEAST)
+    idf = dict(zip(kept.column("term").to_pylist(), weights.tolist(), strict=True))
     blank = Index(idf, [], (1, 0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +197,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
             counts = [sorted(blank.counts(t.as_py() or "").items()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([np.array(c, np.int32).tobytes() for c in counts], pa.binary())], ["doc_id", "toxic", "counts"])
 
-    got = rows.mapInArrow(vectors, "doc_id long, toxic int, counts binary").dropDuplicates(["doc_id"]).collect()  # at most EXAMPLES rows
-    full = [(r.doc_id, dict(np.frombuffer(bytes(r.counts), np.int32).reshape(-1, 2).tolist()), r.toxic) for r in sorted(got, key=lambda r: r.doc_id) if r.counts]
-    none = [r.toxic for r in got if not r.counts]
-    return Index(idf, full, (len(none), sum(none)))
+    got = rows.mapInArrow(vectors, "doc_id long, toxic int, counts binary").dropDuplicates(["doc_id"]).toLocalIterator()  # at most EXAMPLES rows, by partitions
+    full = ((r.doc_id, dict(np.frombuffer(bytes(r.counts), np.int32).reshape(-1, 2).tolist()), r.toxic) for r in got if r.counts)
+    del got, kept, pos, neg, odds, weights, blank
+    return Index(idf, full, (n, n1))
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence. One pass, no shuffle."""
     common.arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # written to a file piece by piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             got = [index.score(t.as_py() or "") for t in batch.column("text")]
             p = [g[0] for g in got]

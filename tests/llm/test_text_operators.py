@@ -170,6 +170,16 @@ def test_toxicity_learns_only_from_training_rows(spark):
     assert any(x.evidence for x in rows)
 
 
+def test_toxicity_of_few_labels_uses_all_terms_and_examples(spark):
+    r = random.Random(3)
+    words = ["river", "stone", "house", "garden", "window", "music", "paper", "bread"]
+    docs = [(k, " ".join(r.choices(words, k=30) + (["scum", "clown"] if k % 8 == 0 else []))) for k in range(72)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = toxicity.train(d, spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(72)], "doc_id long, toxic int"))
+    assert len(index.ids) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(72)) and {"river", "scum", "scum-"} <= set(index.terms)
+    assert all(x.predicted == int(x.doc_id % 8 == 0) and x.evidence for x in toxicity.scored(d, index).collect())
+
+
 def test_toxicity_on_odd_rows(odd, spark):
     index = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     rows = toxicity.scored(odd, index).collect()
