@@ -106,16 +106,20 @@ def score(text: str, start: int, end: int, kind: str, checked: bool) -> float:
 def spans(text: str) -> list[tuple[int, int, str, float]]:
     """All spans with scores: the base ones, and confirmed IBANs."""
     out = [(a, b, k, score(text, a, b, k, k in ("card", "ip"))) for a, b, k in base_spans(text)]
-    for m in IBAN.finditer(text):
-        # Blanks let the pattern run on into the next words; the longest prefix that passes the checksum is taken.
+    m = IBAN.search(text)
+    while m:
+        # Blanks let the pattern run on into the next words; the longest prefix that passes the checksum is taken, and the search goes on behind it, or one character on.
         ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or not text[e].isalnum()]
+        on = m.start() + 1
         for e in ends:
             code = re.sub(r"[\x20-]", "", text[m.start() : e])
             if 15 <= len(code) <= 34 and mod97(code):
                 s = score(text, m.start(), e, "iban", True)
                 if s >= ADDED_SCORE:
                     out.append((m.start(), e, "iban", s))
+                on = e
                 break
+        m = IBAN.search(text, on)
     order = {k: n for n, k in enumerate((*KINDS, "iban"))}
     return sorted(out, key=lambda s: (s[0], order[s[2]]))
 

@@ -93,6 +93,13 @@ def test_added_spans_and_redaction():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_every_iban_of_a_run_is_found():
+    both = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert [s[:3] for s in pii.spans(both)] == [(0, 27, "iban"), (28, 55, "iban")] and pii.redacted(both) == "[IBAN] [IBAN]"
+    assert pii.redacted("ID42 IBAN DE89370400440532013000") == "ID42 IBAN [IBAN]"
+    assert pii.redacted("AB12 CODE GB82 WEST 1234 5698 7654 32 now") == "AB12 CODE [IBAN] now"
+
+
 def test_pii_on_odd_rows(odd):
     rows = pii.report(odd).collect()
     assert len(rows) == len(ODD) and all(r.base_sha256 == sha(b"") for r in rows)
