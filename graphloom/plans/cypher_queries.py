@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables
 from . import cypher
-from .graph_queries import H, T3
+from .graph_queries import H, T3, T_ALL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def pattern(name: str, text: str, sql: str, graph: str = "h") -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = tables.hierarchy(spark, sf_dir) if graph == "h" else tables.trade(spark, sf_dir, 3)
+        g = tables.hierarchy(spark, sf_dir) if graph == "h" else tables.trade(spark, sf_dir, 3 if graph == "t" else None)
         return cypher.run(g, text)
 
     f.__name__, f.__doc__ = name, text
@@ -48,14 +48,18 @@ pattern("c_undirected", "MATCH (a {gid: 'N1'})-[r:TRADE]-(b) RETURN b.gid AS id,
         f"with {T3} select id, count(*) as n from (select dst as id from t3 where src = 'N1' union all select src from t3 where dst = 'N1' and src <> dst) group by 1", "t")
 
 
-def k_mermaid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+for _name in ("c_triangle", "c_undirected"):
+    pattern(f"{_name}_trade", QUERIES[_name].__doc__, ORACLE_SQL[_name].replace(T3, T_ALL), "trade")
+
+
+def k_mermaid_edges(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
     from ..report.diagrams import mermaid_edges
 
-    return mermaid_edges(tables.trade(spark, sf_dir, 3))
+    return mermaid_edges(tables.trade(spark, sf_dir, top))
 
 
-def k_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.trade(spark, sf_dir, 3)
+def k_summary(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
+    g = tables.trade(spark, sf_dir, top)
     n = g.edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"))
     return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(n).select(F.concat_ws(" | ", F.concat(F.lit("Nodes: "), "nodes"), F.concat(F.lit("Edges: "), "edges"), F.concat(F.lit("Sources: "), "sources")).alias("summary"))
 
@@ -65,3 +69,6 @@ ORACLE_SQL |= {
     "k_mermaid_edges": f"with {T3}, n as (select 'N' || n_nationkey as id, row_number() over (order by n_nationkey) - 1 as k from nation) select '  n' || a.k || ' --> n' || b.k as line from (select distinct src, dst from t3) t join n a on a.id = t.src join n b on b.id = t.dst",
     "k_summary": f"with {T3} select 'Nodes: ' || (select count(*) from ids) || ' | Edges: ' || count(*) || ' | Sources: ' || count(distinct src) as summary from t3",
 }
+for _name in ("k_mermaid_edges", "k_summary"):
+    QUERIES[f"{_name}_trade"] = lambda spark, sf_dir, f=QUERIES[_name]: f(spark, sf_dir, None)
+    ORACLE_SQL[f"{_name}_trade"] = ORACLE_SQL[_name].replace(T3, T_ALL)

@@ -39,6 +39,9 @@ DIST = f"""with recursive {T3}, d(s, v, k) as (
   select id, id, 0 from ids union select d.s, t3.dst, d.k + 1 from d join t3 on d.v = t3.src where d.k < 24),
   dist as (select s, v, min(k) as k from d group by s, v)"""
 
+#: The whole trade graph under the names that the SQL of t3 reads, so that one text serves both.
+T_ALL = T3.replace(" where r <= 3", "")
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -60,6 +63,29 @@ def _t3(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return tables.trade(spark, sf_dir, 3).indexed()
 
 
+def _trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The whole trade graph, stored."""
+    return tables.trade(spark, sf_dir).indexed()
+
+
+def _farthest(g: PropertyGraph) -> DataFrame:
+    """The shortest path from the first source to the farthest node."""
+    start = g.edges.agg(F.min("src")).first()[0]
+    reach = T.bfs(g.edges, g.nodes.filter(F.col("id") == start).select("id"))
+    goal = reach.agg(F.max(F.struct("depth", "id")).alias("m")).first()["m"]["id"]
+    return T.shortest_path(g, start, goal).select(F.array_join("path", ">").alias("path"), "length")
+
+
+def _communities(g: PropertyGraph) -> DataFrame:
+    found = A.louvain(g)
+    return A.clusters(g, found).join(A.modularity(g, found), "community")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The users graph of all events, stored."""
+    return tables.users(spark, sf_dir).indexed()
+
+
 @query(f"with {H} select label, count(*) as n, min(name) as first_name from h_nodes group by label")
 def g_nodes_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.hierarchy(spark, sf_dir).nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
@@ -187,11 +213,7 @@ def a_bfs_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 select array_to_string(path, '>') as path, cast(len(path) as int) as length from best where r = 1""")
 def a_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first source to the farthest nation."""
-    g = _t3(spark, sf_dir)
-    start = g.edges.agg(F.min("src")).first()[0]
-    reach = T.bfs(g.edges, g.nodes.filter(F.col("id") == start).select("id"))
-    goal = reach.agg(F.max(F.struct("depth", "id")).alias("m")).first()["m"]["id"]
-    return T.shortest_path(g, start, goal).select(F.array_join("path", ">").alias("path"), "length")
+    return _farthest(_t3(spark, sf_dir))
 
 
 @query(f"""{DIST}, c as (select s, sum(case when k > 0 then 1 else 0 end) as r, sum(k) as far from dist group by s), n as (select count(*) as n from ids)
@@ -295,24 +317,22 @@ def a_hot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a_cycles_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.cycles(_t3(spark, sf_dir))
+    return A.cycles(_trade(spark, sf_dir))
 
 
 @query()
 def a_hot_paths_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.hot_paths(_t3(spark, sf_dir))
+    return A.hot_paths(_trade(spark, sf_dir))
 
 
 @query()
 def a_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.louvain(_t3(spark, sf_dir))
+    return A.louvain(_trade(spark, sf_dir))
 
 
 @query()
 def a_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _t3(spark, sf_dir)
-    found = A.louvain(g)
-    return A.clusters(g, found).join(A.modularity(g, found), "community")
+    return _communities(_trade(spark, sf_dir))
 
 
 @query()
@@ -342,6 +362,29 @@ def g_event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The operators over whole graphs: queries named a_..._trade have the SQL of their namesakes on t3 with all links; those named a_..._users have none, since all pairs and twenty rounds of joins are too slow there.
+WHOLE = {
+    "bfs_dist": lambda g: T.bfs(g.edges, g.nodes.select("id")).select("seed", "id", "depth"),
+    "closeness": lambda g: A.rounded(A.closeness(g), "closeness"),
+    "pagerank_20it": lambda g: A.rounded(A.pagerank(g, max_iter=20, tol=None), "pagerank"),
+    "hits_20it": lambda g: A.rounded(A.hits(g, max_iter=20, tol=None), "hub", "authority"),
+    "betweenness": lambda g: A.rounded(A.betweenness(g), "betweenness"),
+    "centrality_stats": lambda g: A.rounded(A.centrality_stats(A.betweenness(g)), "mean", "stddev"),
+    "bottlenecks": lambda g: A.rounded(A.bottlenecks(A.betweenness(g), 1.0), "betweenness"),
+    "clustering_coeff": lambda g: A.rounded(A.clustering_coefficients(g), "coefficient"),
+    "scc": A.strongly_connected,
+    "cyclic_nodes": A.cyclic_nodes,
+    "shortest_path": lambda g: _farthest(g),
+}
+for _name, _f in WHOLE.items():
+    QUERIES[f"a_{_name}_trade"] = lambda spark, sf_dir, f=_f: f(_trade(spark, sf_dir))
+    QUERIES[f"a_{_name}_users"] = lambda spark, sf_dir, f=_f: f(_users(spark, sf_dir))
+    if _name != "shortest_path":  # its SQL lists all simple paths
+        ORACLE_SQL[f"a_{_name}_trade"] = ORACLE_SQL[f"a_{_name}"].replace(T3, T_ALL)
+for _name, _f in {"cycles_dfs": A.cycles, "hot_paths_dfs": A.hot_paths, "louvain": A.louvain, "clusters": lambda g: _communities(g)}.items():
+    QUERIES[f"a_{_name}_users"] = lambda spark, sf_dir, f=_f: f(_users(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What depends on a nation, with degrees and risk."""
     g = tables.hierarchy(spark, sf_dir)

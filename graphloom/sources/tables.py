@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..graph import PropertyGraph
 
 #: Key column, id prefix, label and name column of each entity table.
@@ -80,6 +81,17 @@ def event_flow(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.of(nodes, edges)
 
 
+def users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Users linked from each event's to the next event's in global time order, each pair once. Events are numbered by ranges, without a single-task sort."""
+    events = storage.with_ordinals(table(spark, sf_dir, "events").select("ts", "event_id", "user_id"), "k", "ts", "event_id").select("k", "user_id")
+    following = events.select((F.col("k") - 1).alias("k"), F.col("user_id").alias("next"))
+    pairs = events.join(following, "k").filter("user_id is not null and next is not null").select(F.col("user_id").cast("string").alias("src"), F.col("next").cast("string").alias("dst")).distinct()
+    edges = storage.with_ordinals(pairs, "idx", "src", "dst").withColumn("label", F.lit("NEXT_USER"))
+    names = events.select("user_id").filter("user_id is not null").distinct()
+    nodes = names.select(F.col("user_id").cast("long").alias("ord"), F.col("user_id").cast("string").alias("id"), F.lit("USER").alias("label"), F.col("user_id").cast("string").alias("name"))
+    return PropertyGraph.of(nodes, edges)
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Pages linked to the paths of their href attributes; those are phantoms unless a page has that url."""
     pages = table(spark, sf_dir, "pages")

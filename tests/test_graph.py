@@ -163,3 +163,19 @@ def test_clean_up(spark):
     assert at.exists()
     storage.clean_up(spark)
     assert not at.exists()
+
+
+def test_queries_on_whole_trade_and_users_graphs(spark):
+    import __spark_entry__ as entry
+    from graphloom.sources import tables
+
+    d, q, sql = "/root/testdata/sf0.001", entry.queries(), entry.oracle_sql()
+    assert tables.trade(spark, d).edges.count() == 250
+    summary = q["k_summary_trade"](spark, d).first()["summary"]
+    assert summary == "Nodes: 25 | Edges: 250 | Sources: 10"
+    order = [r.user_id for r in spark.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "user_id").orderBy("ts", "event_id").collect()]
+    users = tables.users(spark, d)
+    assert {(r.src, r.dst) for r in users.edges.collect()} == {(str(a), str(b)) for a, b in zip(order, order[1:])} and users.edges.count() == 221
+    assert {f"a_{n}_{g}" for n in ("pagerank_20it", "hits_20it", "scc", "betweenness") for g in ("trade", "users")} <= set(q)
+    assert all("r <= 3" not in sql[n] for n in sql if n.endswith("_trade"))
+    assert q["a_louvain"](spark, d).count() == 25
