@@ -337,11 +337,20 @@ def a_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a_topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.hierarchy(spark, sf_dir).subgraph(("REGION", "NATION", "SUPPLIER"), ("IN_REGION", "IN_NATION"))
     from ..storage import with_ordinals
 
-    edges = with_ordinals(g.edges.drop("idx").filter("src_label <> 'CUSTOMER'"), "idx", "label", "src", "dst")
-    return A.topological_order(PropertyGraph.of(g.nodes, edges))
+    g = tables.hierarchy(spark, sf_dir)
+    return A.topological_order(PropertyGraph.of(g.nodes, with_ordinals(g.edges.drop("idx"), "idx", "label", "src", "dst")))
+
+
+#: The whole hierarchy under the names that the SQL of the graph without parts reads.
+_DAG_ALL = "h2_nodes as (select * from h_nodes), h2_edges as (select src, dst from h_edges)"
+for _name, _f in {
+    "a_topo_levels": A.topological_levels, "a_depth": A.longest_depths,
+    "a_hot_paths": lambda g: A.longest_paths(g).select("id", F.array_join("path", ">").alias("path"), "length"),
+}.items():
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, f=_f: f(tables.hierarchy(spark, sf_dir))
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_DAG, _DAG_ALL)
 
 
 @query(f"with {E_EDGES} select src, dst, count(*) as n from e_edges group by all")

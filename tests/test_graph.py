@@ -179,3 +179,16 @@ def test_queries_on_whole_trade_and_users_graphs(spark):
     assert {f"a_{n}_{g}" for n in ("pagerank_20it", "hits_20it", "scc", "betweenness") for g in ("trade", "users")} <= set(q)
     assert all("r <= 3" not in sql[n] for n in sql if n.endswith("_trade"))
     assert q["a_louvain"](spark, d).count() == 25
+
+
+def test_hierarchy_queries_take_all_nodes_and_edges(spark):
+    import __spark_entry__ as entry
+    from graphloom.sources import tables
+
+    d, q = "/root/testdata/sf0.001", entry.queries()
+    g = tables.hierarchy(spark, d)
+    at = {r.id: r.position for r in q["a_topo_order"](spark, d).collect()}
+    assert set(at) == {r.id for r in g.nodes.select("id").collect()} and len(at) == 1890
+    assert all(at[r.src] < at[r.dst] for r in g.edges.select("src", "dst").collect())
+    levels = {r.id: r.level for r in q["a_topo_levels_whole"](spark, d).collect()}
+    assert len(levels) == 1890 and any(k.startswith("P") and v == 1 for k, v in levels.items())
