@@ -5,8 +5,10 @@ then calibrated by Platt's method on the part of the sample that the fit did not
 batches against the fixed threshold KEEP.
 
 Defined cases: a null text has no words, all counts 0, fails the base rules and is not kept; without labelled rows, or
-with labels of one kind only, the verdict is the base rules' alone (score null); repeated rows give repeated results; an
-empty table gives no rows; other columns are ignored.
+with labels of one kind only, the verdict is the base rules' alone (score null); labels other than 0 and 1 and those of a
+null doc_id are not used; ids and labels may be of any type that casts to a string and to a number; of repeated labels the
+largest holds, of repeated ids with unlike texts the one whose features' bytes come first is fitted; repeated rows give
+repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,18 +82,28 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, deca
 
 
 def platt(s: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """a, b of the probability 1 / (1 + exp(-(a s + b))), by Newton's method on smoothed targets."""
+    """a, b of the probability 1 / (1 + exp(-(a s + b))): Newton's method on smoothed targets, with steps halved until the loss falls, since on separable scores full steps run away."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * s + b
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * (a - 1) ** 2)
+
     a, b = 1.0, 0.0
+    now = loss(a, b)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
         h = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * s).sum(), (p - t).sum()]) + 1e-3 * np.array([a - 1, 0])
+        g = np.array([((p - t) * s).sum() + 1e-3 * (a - 1), (p - t).sum()])
         hess = np.array([[(h * s * s).sum() + 1e-3, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-7:
+        step, size = np.linalg.solve(hess, g), 1.0
+        while size > 1e-10 and (new := loss(a - size * step[0], b - size * step[1])) > now - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-10:
+            break
+        a, b, now = a - size * step[0], b - size * step[1], new
+        if abs(size * step).max() < 1e-7:
             break
     return float(a), float(b)
 
@@ -99,15 +111,16 @@ def platt(s: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
     """Weights, bias and calibration from at most FIT_ROWS labelled rows."""
     common.arrow_batches(docs.sparkSession)
-    sample = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(FIT_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    sample = known.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(FIT_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "quality")  # at most FIT_ROWS narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [np.float16(features(t.as_py() or "")).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most FIT_ROWS rows
+    got = rows.mapInArrow(run, "doc_id string, quality int, x binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()  # at most FIT_ROWS rows
     if not got:
         return None
     y = np.array([r.quality for r in got])

@@ -141,6 +141,32 @@ def test_quality_on_odd_rows(odd, spark):
     assert len(rows) == len(ODD) and all(r.base_failed and not r.kept for r in rows if r.n_words < 50)
 
 
+def test_quality_trains_on_odd_rows_of_any_type(odd, spark):
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(ODD)] + [(77, 1), (5, 9)], "doc_id long, quality long").withColumn("text", F.lit("x"))
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    clash = odd.withColumn("quality", F.lit(3)).withColumn("score", F.lit("s")).withColumn("x", F.lit(1))
+    for docs, known in ((clash, labels), (named(clash), named(labels).withColumn("quality", F.col("quality").cast("string")))):
+        rows = quality.verdicts(docs, quality.train(docs, known)).collect()
+        assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows) and all(r.base_failed and not r.kept for r in rows if r.n_words < 50)
+    assert quality.verdicts(odd.limit(0), None).count() == 0 and quality.train(odd.limit(0), labels) is None
+
+
+def test_quality_verdicts_against_plain_regression(spark):
+    """The verdict is the base rules' and that of the fitted probability, whatever the batch."""
+    r = random.Random(11)
+    docs = [(k, " ".join(r.choice(["river", "stone", "***", "buy"] if k % 2 else ["quiet", "stone", "moves"]) + str(r.randrange(40)) for _ in range(r.randrange(20, 120)))) for k in range(120)] + [(500, "same old words " * 40), (501, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    model = quality.train(d, spark.createDataFrame([(k, 1 - k % 2) for k in range(120)], "doc_id long, quality int"))
+    w, b, a, c = model
+    for x in quality.verdicts(d, model).collect():
+        text = dict(docs)[x.doc_id] or ""
+        n = plain_counts(text)
+        p = 1 / (1 + np.exp(-(a * (float(quality.features(text).astype(np.float64) @ w) + b) + c)))
+        bad = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == n and x.base_failed == bad
+        assert abs(x.score - p) < 1e-3 and (abs(p - quality.KEEP) < 1e-3 or x.kept == (not bad and p >= quality.KEEP))
+
+
 # --- toxicity
 def test_index_is_exact():
     r = random.Random(1)
@@ -296,3 +322,60 @@ def test_words_match_the_pattern(spark):
 def test_batches_are_bounded(spark):
     common.arrow_batches(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == common.ARROW_ROWS
+
+
+def plain_scores(texts, labels):
+    """Scores of all texts by dense vectors: terms, weights, the K nearest, votes and calibration. texts: by id; labels: of the rows to learn from."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    terms = lambda t: [x for w in words(t) for x in {w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) >= n)}]
+    n, n1 = len(labels), sum(labels.values())
+    df = {}
+    for i, y in labels.items():
+        for x in set(terms(texts[i])):
+            df.setdefault(x, [0, 0])[y] += 1
+    weight = {}
+    for x, (neg, pos) in df.items():
+        if neg + pos >= 2:
+            odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n - n1 + 1))
+            weight[x] = (np.log((1 + n) / (1 + pos + neg)) + 1) * max(abs(odds), toxicity.LEAST)
+    names = sorted(weight)
+
+    def vector(t):
+        c = np.array([terms(t).count(x) for x in names], float)
+        w = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * np.array([weight[x] for x in names])
+        return w / (np.sqrt((w * w).sum()) or 1)
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+    examples = [i for i in labels if vectors[i].any()]
+    rate = (n1 + 1) / (n + 2)
+
+    def logit(v, without=None):
+        near = sorted(((round(float(vectors[i] @ v), 6), labels[i]) for i in examples if i != without), key=lambda x: -x[0])[: toxicity.K]
+        near = [(1 / (0.1 + max(0.0, 1 - s)), y) for s, y in near if s > 0]
+        p = (sum(w * y for w, y in near) + toxicity.PRIOR * 10 * rate) / (sum(w for w, _ in near) + toxicity.PRIOR * 10)
+        return np.log(p / (1 - p))
+
+    a, b = quality.platt(np.array([logit(vectors[i], i) for i in examples]), np.array([labels[i] for i in examples]))
+    return {i: rate if not v.any() else 1 / (1 + np.exp(-(a * logit(v) + b))) for i, v in vectors.items()}
+
+
+def test_toxicity_scores_against_dense_vectors(spark):
+    """Neighbours, votes and calibration of all texts, rare and frequent terms alike; texts are distinct, so the K nearest are too."""
+    r = random.Random(9)
+    lex = ["".join(r.choices("abcdefgh", k=r.randrange(3, 9))) for _ in range(60)]
+    texts = {str(k): " ".join(r.choices(lex, weights=range(1, 61), k=r.randrange(5, 40)) + r.choices(["idiot", "idiots", "moron"], k=(k % 5 == 0) * r.randrange(1, 3))) for k in range(150)} | {"900": None, "901": "?? 11", "902": "zzz unknown"}
+    d = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id string, text string, score int")
+    labels = {i: int(int(i) % 5 == 0) for i in texts if int(i) < 150}
+    index = toxicity.train(d, spark.createDataFrame([(i, str(y)) for i, y in labels.items()], "doc_id string, toxic string"))
+    want = plain_scores(texts, {i: y for i, y in labels.items() if zlib.crc32(i.encode()) % 5})
+    rows = toxicity.scored(d, index).collect()
+    assert len(rows) == len(texts) and len(index.ids) > 100
+    assert max(abs(x.score - want[x.doc_id]) for x in rows) < 1e-4
+    assert all(x.evidence for x in rows if x.doc_id not in ("900", "901", "902"))
+
+
+def test_toxicity_trains_on_odd_rows(odd, spark):
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(ODD)] + [(77, 1), (5, 7)], "doc_id long, toxic long").withColumn("text", F.lit("x"))
+    rows = toxicity.scored(odd.withColumn("toxic", F.lit(3)).withColumn("score", F.lit("s")), toxicity.train(odd.withColumn("toxic", F.lit(3)), labels)).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.scored(odd.limit(0), toxicity.train(odd.limit(0), labels)).count() == 0
