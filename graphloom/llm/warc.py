@@ -72,12 +72,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, k, bytes, chunk: what follows each magic up to the next one, in file order by (block, k); the piece before a file's first magic has is_head."""
+    """file, block, file_size, value: what follows each magic up to the next one, and the piece before a file's first magic; digest: of value.
+
+    How files are cut into blocks depends on the session and on the executors at hand, so blocks and the order of rows mean
+    the same only inside one scan; between scans a piece is known by its digest.
+    """
     return (
         spark.read.option("lineSep", MAGIC).text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"))
-        .withColumn("k", F.monotonically_increasing_id())
-        .withColumn("bytes", F.octet_length("value").cast("long"))
+        .withColumn("digest", F.unhex(F.md5(F.col("value").cast("binary"))))
     )
 
 
@@ -86,19 +89,23 @@ def header(name: str, head=None):
     return F.nullif(F.regexp_extract(head if head is not None else F.col("head"), rf"(?:^|\r\n){name}: ([^\r]*)", 1), F.lit(""))
 
 
-def located(chunks: DataFrame) -> DataFrame:
-    """chunks with the offset of the magic before each, and the offset where the record that it would start ends.
+def pieces(chunks: DataFrame) -> DataFrame:
+    """file, block, file_size, k (order inside the block), bytes, digest, claimed (the bytes that the record would have) of each candidate, stored: all that follows reads this one scan."""
+    head = F.substring_index("value", END, 1)
+    return common.stored(chunks.select(
+        "file", "block", "file_size", F.monotonically_increasing_id().alias("k"), F.octet_length("value").cast("long").alias("bytes"), "digest",
+        F.when(F.contains("value", F.lit(END)), F.octet_length(head) + len(END) + F.try_to_number(header("Content-Length", head), F.lit("999999999999")).cast("long") + len(END)).alias("claimed"),
+    ), "pieces")
+
+
+def located(small: DataFrame) -> DataFrame:
+    """pieces with the offset of the magic before each, and the offset where the record that it would start ends.
 
     Offsets are sums of lengths: inside each block in parallel, plus the sums of the file's earlier blocks.
     """
     step = F.col("bytes") + F.lit(len(MAGIC))
-    head = F.substring_index("value", END, 1)
-    small = chunks.select(
-        "file", "block", "file_size", "k", "bytes",
-        F.when(F.contains("value", F.lit(END)), F.octet_length(head) + len(END) + F.try_to_number(header("Content-Length", head), F.lit("999999999999")).cast("long") + len(END)).alias("claimed"),
-    )
     sums = small.groupBy("file", "block").agg(F.sum(step).alias("block_bytes"))
-    base = sums.select("file", "block", (F.sum("block_bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("block_bytes")).alias("base"))
+    base = sums.select("file", "block", (F.sum("block_bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("block_bytes")).alias("base"))  # one row for each block
     inside = Window.partitionBy("file", "block").orderBy("k")
     # The first piece of a file is what stands before its first magic (nothing, in a sound file), so a piece starts one magic before its own text.
     return (
@@ -143,29 +150,39 @@ def reachable(links: DataFrame) -> DataFrame:
     return runs.join(entered, ["file", "block", "run"]).filter("offset >= `from`").select("file", "offset")
 
 
+def placed(links: DataFrame, good: DataFrame) -> DataFrame:
+    """file, offset, digest, start (the record that the piece lies in, null before a file's first) and part (whether the piece is no whole record), stored. Blocks are worked on apart; of each only its last record is carried on."""
+    where = common.stored(links.join(good.withColumn("good", F.lit(True)), ["file", "offset"], "left").withColumn("own", F.when(F.col("good") & (F.col("offset") >= 0), F.col("offset"))), "where")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = where.groupBy("file", "block").agg(F.max("own").alias("last")).select("file", "block", F.max("last").over(before).alias("carried"))  # one row for each block
+    inside, same = Window.partitionBy("file", "block").orderBy("offset"), Window.partitionBy("file", "start")
+    rows = where.join(carried, ["file", "block"]).withColumn("start", F.coalesce(F.max("own").over(inside), "carried"))
+    part = F.col("good").isNull() | F.col("start").isNull() | (F.col("offset") + len(MAGIC) + F.col("bytes") != F.max(F.when(F.col("good"), F.col("successor"))).over(same)) | (F.count(F.lit(1)).over(same) > 1)
+    return common.stored(rows.select("file", "offset", "digest", "start", F.coalesce(part, F.lit(True)).alias("part")), "placed")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, block, k (its place), record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, body (after the record's header block).
+    """One row per record: file, record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, body (after the record's header block).
 
-    Texts move only for the exceptions, pieces that are no whole record; all others are records as they were scanned.
+    Texts move only for the exceptions, pieces that are no whole record; all others are records as they are scanned. A piece
+    is an exception, by its digest, if any piece of the same bytes is one.
     """
     chunks = candidates(spark, path)
-    links = common.stored(located(chunks).select("file", "block", "k", "offset", "successor", "bytes"), "links")
-    good = common.stored(reachable(links), "good")
-    where = links.join(good.withColumn("good", F.lit(True)), ["file", "offset"], "left")
-    order, same = Window.partitionBy("file").orderBy("offset"), Window.partitionBy("file", "start")
-    placed = where.withColumn("start", F.max(F.when(F.col("good") & (F.col("offset") >= 0), F.col("offset"))).over(order))
-    part = F.col("good").isNull() | (F.col("offset") + len(MAGIC) + F.col("bytes") != F.max(F.when(F.col("good"), F.col("successor"))).over(same)) | (F.count(F.lit(1)).over(same) > 1)
-    odd = placed.withColumn("part", part | F.col("start").isNull()).filter("part").select("file", "block", "k", "offset", "start", F.lit(True).alias("odd"))
-    texts = chunks.select("file", "block", "k", "value").join(common.if_small(common.stored(odd, "exceptions"), 50_000), ["file", "block", "k"], "left")
-    whole = texts.filter("odd is null").select("file", "block", "k", F.col("value").alias("record"))
+    links = common.stored(located(pieces(chunks)).select("file", "block", "offset", "successor", "bytes", "digest"), "links")
+    where = placed(links, common.stored(reachable(links), "good"))
+    odd = common.stored(where.filter("part").select("digest").distinct(), "exceptions")
+    texts = chunks.select("file", "value", "digest")
+    few = common.if_small(odd, 50_000)
+    records = texts.join(few, "digest", "left_anti").select("file", F.col("value").alias("record"))
     # A broken record is its own piece and those up to the next record; what stands before a file's first record belongs to none.
-    gathered = texts.filter("odd and start is not null").groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "block", "k", "value"))).alias("p"))
-    joined = gathered.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["k"].alias("k"), F.array_join("p.value", MAGIC).alias("record"))
-    records = whole.unionByName(joined).withColumn("head", F.substring_index("record", END, 1))
+    bytes_of = texts.join(few, "digest", "left_semi").groupBy("digest").agg(F.first("value").alias("value"))
+    its = where.filter("start is not null").join(few, "digest", "left_semi").select("file", "start", "offset", "digest")
+    gathered = its.join(bytes_of, "digest").groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("p"))
+    records = records.unionByName(gathered.select("file", F.array_join("p.value", MAGIC).alias("record"))).withColumn("head", F.substring_index("record", END, 1))
     length = header("Content-Length").cast("int")
     raw = F.substring(F.col("record").cast("binary"), F.octet_length("head") + len(END) + 1, length)
     return records.select(
-        "file", "block", "k", header("WARC-Record-ID").alias("record_id"), header("WARC-Type").alias("record_type"), header("WARC-Target-URI").alias("target_uri"),
+        "file", header("WARC-Record-ID").alias("record_id"), header("WARC-Type").alias("record_type"), header("WARC-Target-URI").alias("target_uri"),
         F.regexp_replace(header("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), header("X-Payload-Length").cast("long").alias("payload_bytes"),
         header("WARC-Refers-To").alias("refers_to"), raw.alias("body"),
     )
@@ -176,7 +193,7 @@ def page_of(urn):
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok: of a response, length and digest are those of the bytes read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: of a response, length and digest are those of the bytes read back."""
     spark = pages.sparkSession
     path = path or common.stored_path(spark, "warc")
     write_archives(pages, path)

@@ -88,6 +88,34 @@ def test_warc_over_small_splits(spark):
     assert got == plain_records(rows)
 
 
+@pytest.mark.parametrize("parts", ["1", "40"])
+def test_warc_when_scans_are_planned_differently(spark, parts, monkeypatch):
+    """Executors come and go between the scans of an archive, and files are then cut otherwise: the records stay the same, also those that hold the bytes of others."""
+    inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(k, f"u{k % 50}", inner * (k % 4) + "p" * (997 * k % 5000) + ("WARC/1.1\r\n" + "q" * (k % 7)) * (k % 3)) for k in range(120)] + [(500, None, EVIL), (501, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    turn, confs = [0], {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+
+    def stored_apart(of, name):
+        """Each stored step sees another cut of the files."""
+        turn[0] += 1
+        spark.conf.set("spark.sql.files.minPartitionNum", parts if turn[0] % 2 else "7")
+        return keep(of, name)
+
+    keep = common.stored
+    monkeypatch.setattr(common, "stored", stored_apart)
+    try:
+        got = warc.warc_round_trip(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", "23")
+        got = sorted((str(x.page_id), x.payload_bytes, x.payload_digest, x.record_type, str(x.refers_to)) for x in got.collect())
+    finally:
+        for k in (*confs, "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(k)
+    assert got == plain_records(rows)
+
+
 # --- near-duplicates
 def test_word_hashes_are_of_words():
     data = lambda s: np.frombuffer(s.encode(), np.uint8)
