@@ -1,9 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 The base kinds are email, ip, card and phone; each is matched leftmost and without overlap, and a match that its check
-refuses is dropped. The method adds iban spans (mod-97). Scores start from the kind's prior, rise for a passed checksum and
-for context words close by, and fall for words that speak against the kind. Base spans stay whatever their score; an
-added span needs ADDED_SCORE.
+refuses is dropped. The method adds iban (mod-97), ssn (numbers that are never given out are refused) and secret spans (keys
+and tokens: long runs of letters and digits mixed). Scores start from the kind's prior, rise for a passed check and for
+context words close by, and fall for words that speak against the kind. Base spans stay whatever their score; an added span
+needs ADDED_SCORE, so an iban stays unless the words around it speak against it alone, and an ssn or a secret is one only
+where the words around it say so.
 
 Defined cases: a null text is empty and has no spans; spans are code point offsets, end exclusive; repeated rows give
 repeated results; an empty table gives no rows; other columns pass through redact() and are ignored by the query.
@@ -28,18 +30,24 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,512}+(?![A-Za-z0-9_-])")
+ADDED = ("iban", "ssn", "secret")
 #: Context words for and against a kind, looked for within WINDOW code points before and after a span.
 CONTEXT = {
     "email": (("mail", "contact", "write", "kontakt", "correo", "courriel"), ()),
     "ip": (("ip", "host", "server", "address", "adresse"), ("version", "release", "section")),
     "card": (("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"), ("isbn", "order", "serial")),
     "phone": (("phone", "tel", "call", "mobile", "fax", "telefon", "móvil"), ("isbn", "version")),
-    "iban": (("iban", "account", "bank", "konto", "compte", "cuenta"), ("serial", "version")),
+    "iban": (("iban", "account", "bank", "konto", "compte", "cuenta"), ("serial", "version", "sample", "part", "model")),
+    "ssn": (("ssn", "social", "security", "taxpayer", "tin"), ("part", "model", "isbn", "serial", "order")),
+    "secret": (("token", "secret", "password", "passwd", "key", "apikey", "api_key", "access_token", "bearer", "credential", "credentials", "passwort", "contraseña"), ("sha1", "sha256", "md5", "checksum", "digest", "commit", "hash")),
 }
 WINDOW = 48
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4}
-CHECKED = 0.4
-NEAR = 0.15
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4, "ssn": 0.3, "secret": 0.3}
+#: What a passed check adds, and context for and against a kind.
+CHECKED = {"ip": 0.4, "card": 0.4, "iban": 0.4, "ssn": 0.2, "secret": 0.2}
+NEAR, AGAINST = 0.2, 0.25
 ADDED_SCORE = 0.6
 
 
@@ -96,31 +104,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def mixed(run: str) -> bool:
+    """Whether a run is like a key: letters and digits, and not the same few over and over."""
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and len(set(run)) >= 8
+
+
 def score(text: str, start: int, end: int, kind: str, checked: bool) -> float:
+    """checked: whether the kind's check, where it has one, was passed."""
     around = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
     words = set(re.findall(r"\w+", around))
     good, bad = CONTEXT[kind]
-    return min(1.0, max(0.0, PRIOR[kind] + CHECKED * checked + NEAR * any(w in words for w in good) - NEAR * any(w in words for w in bad)))
+    value = PRIOR[kind] + checked * CHECKED.get(kind, 0.0) + NEAR * (not words.isdisjoint(good)) - AGAINST * (not words.isdisjoint(bad))
+    return min(1.0, max(0.0, value))
 
 
-def spans(text: str) -> list[tuple[int, int, str, float]]:
-    """All spans with scores: the base ones, and confirmed IBANs."""
-    out = [(a, b, k, score(text, a, b, k, k in ("card", "ip"))) for a, b, k in base_spans(text)]
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of IBANs with a right checksum. Blanks let the pattern run on into the next words: the longest prefix that passes is taken, and the search goes on behind it, or one character on."""
     m = IBAN.search(text)
     while m:
-        # Blanks let the pattern run on into the next words; the longest prefix that passes the checksum is taken, and the search goes on behind it, or one character on.
-        ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or not text[e].isalnum()]
         on = m.start() + 1
-        for e in ends:
+        for e in (e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or not text[e].isalnum()):
             code = re.sub(r"[\x20-]", "", text[m.start() : e])
             if 15 <= len(code) <= 34 and mod97(code):
-                s = score(text, m.start(), e, "iban", True)
-                if s >= ADDED_SCORE:
-                    out.append((m.start(), e, "iban", s))
+                yield m.start(), e
                 on = e
                 break
         m = IBAN.search(text, on)
-    order = {k: n for n, k in enumerate((*KINDS, "iban"))}
+
+
+def spans(text: str) -> list[tuple[int, int, str, float]]:
+    """All spans with scores: the base ones, and the added ones that their context does not rule out."""
+    out = [(a, b, k, score(text, a, b, k, True)) for a, b, k in base_spans(text)]
+    found = [(a, b, "iban") for a, b in ibans(text)] + [(*m.span(), "ssn") for m in SSN.finditer(text)] + [(*m.span(), "secret") for m in SECRET.finditer(text) if mixed(m[0])]
+    out += [(a, b, k, s) for a, b, k in found if (s := score(text, a, b, k, True)) >= ADDED_SCORE - 1e-9]
+    order = {k: n for n, k in enumerate((*KINDS, *ADDED))}
     return sorted(out, key=lambda s: (s[0], order[s[2]]))
 
 

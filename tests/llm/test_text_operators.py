@@ -100,6 +100,43 @@ def test_every_iban_of_a_run_is_found():
     assert pii.redacted("AB12 CODE GB82 WEST 1234 5698 7654 32 now") == "AB12 CODE [IBAN] now"
 
 
+def plain_ibans(text):
+    """All IBANs by trying every start and, from the longest, every end."""
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        if (at == 0 or not re.match(r"[A-Za-z0-9]", text[at - 1])) and re.match(r"[A-Z]{2}[0-9]{2}", text[at:]):
+            for e in range(min(len(text), at + 64), at + 14, -1):
+                code = re.sub(r"[\x20-]", "", text[at:e])
+                if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}", text[at:e]) and (e == len(text) or not re.match(r"[A-Za-z0-9]", text[e])) and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                    end = e
+                    break
+        if end:
+            out.append((at, end))
+        at = end or at + 1
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "GB82-WEST-1234-5698-7654-32", "DE88370400440532013000", "AB12", "IBAN", "x", " ", "  ", "-", ".", "12", "A"]), max_size=8).map("".join))
+def test_ibans_match_trying_all(text):
+    assert list(pii.ibans(text)) == plain_ibans(text)
+
+
+def test_context_decides_added_spans():
+    kinds = lambda t: [s[2] for s in pii.spans(t)]
+    key = "04dbebab91ab85687d33eeaaf9c0ffee12345678"
+    assert kinds(f'token = "{key}"') == ["secret"] and kinds(f"Password: {key}") == ["secret"]
+    assert kinds(f"of {key} the") == [] and kinds(f"commit {key}") == [] and kinds(f"key of commit {key}") == []
+    assert kinds("token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa") == [] and kinds("token = " + "ab12cd34" * 100) == []
+    assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("on 123-45-6789 it") == [] and kinds("ssn 000-12-3456, 666-12-3456, 123-00-4567") == []
+    iban = "DE89 3704 0044 0532 0130 00"
+    assert kinds(iban) == ["iban"] and kinds(f"serial {iban}") == [] and kinds(f"serial, bank {iban}") == ["iban"]
+    assert kinds(f"iban far away {'x ' * 40}{iban} {'y ' * 40} serial") == ["iban"]
+    assert kinds("version 10.1.2.3") == ["ip"]  # base spans stay whatever their context
+    assert pii.redacted(f'token = "{key}"') == 'token = "[SECRET]"'
+
+
 def test_pii_on_odd_rows(odd):
     rows = pii.report(odd).collect()
     assert len(rows) == len(ODD) and all(r.base_sha256 == sha(b"") for r in rows)
