@@ -304,6 +304,67 @@ def test_main_text_without_an_article():
     assert html_extraction.main_text(page) == "Title here\n\nA long paragraph of the text which goes on for many words and then some more.\n\nEnd."
 
 
+LONG = "A long paragraph of the text which goes on for many words, and then for some more of them"
+
+
+def filler(n):
+    return [f"{LONG}, part {k}." for k in range(n)]
+
+
+def test_ratio_selects_the_content_of_pages_without_articles():
+    """Flat markup, in which no name says what the content is: the smoothed ratio alone finds it, and keeps a short paragraph between long ones."""
+    story = [*filler(3), "Yes.", *filler(2)]
+    links = "".join(f'<p><a href="{k}">Link {k}</a></p>' for k in range(12))
+    odds = "".join(f"<p>{w}</p>" for w in ("Mon", "Tue", "12", "Top", "A", "B"))
+    page = f"<body>{odds}{links}{''.join(f'<p>{x}</p>' for x in story)}{links}{odds}</body>"
+    want = "\n\n".join(story)
+    assert html_extraction.main_text(page) == want
+    cards = "".join(f"<div class=c><span>{w}</span><span>{w}</span></div>" for w in "one two three four five six seven eight".split())
+    boxed = f"<body><div class=x>{cards}{odds}</div><div class=y><h1>T</h1>{''.join(f'<p>{x}</p>' for x in ['Short.', *story, 'End.', 'So.'])}</div><div class=z>{cards}</div></body>"
+    assert html_extraction.main_text(boxed) == "\n\n".join(["T", "Short.", *story, "End.", "So."])
+
+
+def test_smoothing_decides():
+    """A short last line beside the text: smoothing lifts it, without it is cut off."""
+    odds = "".join(f"<p>{k}</p>" for k in range(20))
+    page = f"<body>{odds}{''.join(f'<p>{x}</p>' for x in filler(4))}<p>The end.</p>{odds}</body>"
+    assert html_extraction.main_text(page) == "\n\n".join([*filler(4), "The end."]) != html_extraction.main_text(page, sigma=0.0)
+
+
+@pytest.mark.parametrize("name", ["widget-free share", "entry hidden-xs", "post search-result", "post"])
+def test_misleading_class_names_do_not_drop_text(name):
+    page = f"<body><nav>n</nav><article><p>{filler(1)[0]}</p><div class='{name}'><p>{filler(2)[1]}</p><p>{filler(3)[2]}</p></div></article></body>"
+    assert html_extraction.main_text(page) == "\n\n".join(filler(3))
+
+
+def test_doubtful_and_named_blocks():
+    body = "".join(f"<p>{x}</p>" for x in filler(4))
+    share = "<div class='share'><a href=1>Tell</a> <a href=2>Post</a></div>"
+    comments = f"<section class='comments'>{''.join(f'<article class=comment><p>{x}</p></article>' for x in filler(3))}</section>"
+    assert html_extraction.main_text(f"<body><article>{body}{share}</article>{comments}</body>") == "\n\n".join(filler(4))
+    wrapper = f"<body><div class='page sidebar-left'><div class='banner'>Buy it now, really</div><h1>Head</h1><div class='c'>{body}</div></div></body>"
+    assert html_extraction.main_text(wrapper) == "\n\n".join(["Head", *filler(4)])
+    teasers = "".join("<article class=card><p>Read it</p></article>" for _ in range(5))
+    assert html_extraction.main_text(f"<body><div>{teasers}</div><div class=text>{body}</div></body>") == "\n\n".join(filler(4))
+    assert html_extraction.main_text("<article><p>one <span class=ad>buy</span> two</p></article>") == "one two"
+
+
+def test_odd_markup_does_not_fail():
+    f = html_extraction.main_text
+    assert f("<p>x</p><![foo[ x ]]>") == "x\n\n]>" or f("<p>x</p><![foo[ x ]]>") == "x"
+    assert f("<p>a</p><!-- x --!><p>b</p>") == "a\n\nb" and f("<p>a</p><!--> <p>b</p>") == "a\n\nb" and f("<p>a</p><!-- open <p>b</p>") == "a"
+    assert f("<p>a<![CDATA[ x > y ]]>") and f("<!DOCTYPE [<!x]><p>a") and f("<?php x ?><p>a") and f("</p></x><p>a</b></p>") == "a"
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<span><p>", "<div>", "<div><span>", "<p>x<a href=1>", "<li>x", "</b>", "<article>", "<i></p>", "<td>"])
+def test_open_tags_cost_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(piece * 50_000 + "text")
+    assert time.process_time() - began < 20
+
+
 # --- decontamination
 def plain_hits(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
