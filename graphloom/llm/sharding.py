@@ -4,10 +4,13 @@ Every record is hashed into one of SLOTS virtual slots, which never change. Byte
 versioned slot-to-shard map, edited when the shards are rebalanced, says where each slot lives. Only the map, never the
 hash, changes between versions, so a rebalance moves whole slots and no more of them than needed.
 
-The law kept by the first map is `bytes`: slots go, heaviest first, to the shard with the fewest bytes so far.
+The law is `bytes`. The first version of a map, which knows no data, deals the slots out in turn. Whoever places records
+reads the latest stored version, sums the bytes of its slots, and if an edit brings the heaviest and the lightest shard
+closer by more than TOLERANCE of the mean, stores the edited version, which is then read back and used.
 
-Defined cases: a null text counts as empty (size 8); a null doc_id hashes as such together with its text; repeated rows
-share a slot and get different positions; an empty table gives no rows; columns other than doc_id and text are ignored.
+Defined cases: a null text counts as empty (size 8); a null doc_id hashes as such together with its text; the copies of a
+repeated row, which no one can tell apart, are dealt over all slots, so that many of them don't weigh on one shard; an empty
+table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import heapq
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ SLOTS = 8192
 SHARDS = 24
 #: Bytes a record costs besides its text.
 OVERHEAD = 8
+#: How much closer, as a share of the mean, an edit must bring the shards.
+TOLERANCE = 0.001
 
 
 @dataclass
@@ -46,8 +52,24 @@ class SlotMap:
             heapq.heappush(heap, (load + weights[slot], shard))
         return cls(version, n_shards, shard_of)
 
+    @classmethod
+    def uniform(cls, slots: int, n_shards: int) -> SlotMap:
+        """The first version, before any data is known."""
+        return cls(1, n_shards, [k % n_shards for k in range(slots)])
+
+    def loads(self, weights: list[int]) -> list[int]:
+        out = [0] * self.n_shards
+        for slot, shard in enumerate(self.shard_of):
+            out[shard] += weights[slot]
+        return out
+
+    def spread(self, weights: list[int]) -> float:
+        """How far the heaviest and the lightest shard are apart, as a share of the mean."""
+        load = self.loads(weights)
+        return (max(load) - min(load)) / (sum(load) / self.n_shards or 1)
+
     def rebalanced(self, weights: list[int], n_shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
-        """The next version: slots of shards that are gone, then of those above the mean by more than the tolerance, go to the lightest shards; all others stay."""
+        """The next version. Slots of shards that are gone, then of those above the mean by more than the tolerance, go to the lightest shards; then single slots move from the heaviest to the lightest shard as long as that evens them out. All others stay."""
         n = n_shards or self.n_shards
         load, held, loose = [0] * n, [[] for _ in range(n)], []
         for slot, shard in enumerate(self.shard_of):
@@ -68,7 +90,25 @@ class SlotMap:
             now, shard = heapq.heappop(heap)
             shard_of[slot] = shard
             heapq.heappush(heap, (now + weights[slot], shard))
-        return SlotMap(self.version + 1, n, shard_of)
+        new = SlotMap(self.version + 1, n, shard_of)
+        load = new.loads(weights)
+        held = [[] for _ in range(n)]
+        for slot, shard in enumerate(shard_of):
+            held[shard].append(slot)
+        for _ in range(len(weights)):  # each move makes the two shards more alike
+            high, low = max(range(n), key=lambda k: (load[k], -k)), min(range(n), key=lambda k: (load[k], k))
+            gap = load[high] - load[low]
+            if load[high] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance):
+                break
+            slot = min((k for k in held[high] if 0 < weights[k] < gap), key=lambda k: (abs(2 * weights[k] - gap), k), default=None)
+            if slot is None:
+                break
+            held[high].remove(slot)
+            held[low].append(slot)
+            shard_of[slot] = low
+            load[high] -= weights[slot]
+            load[low] += weights[slot]
+        return new
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version to the versioned table at path."""
@@ -88,15 +128,30 @@ class SlotMap:
         return F.element_at(F.array(*[F.lit(s) for s in self.shard_of]), slot + 1)
 
 
+def current_map(spark: SparkSession, path: str, slots: int, n_shards: int) -> SlotMap:
+    """The latest version of the map stored at path; the first one, which is stored now, where there is none."""
+    try:
+        return SlotMap.load(spark, path)
+    except AnalysisException:  # no such table
+        first = SlotMap.uniform(slots, n_shards)
+        first.save(spark, path)
+        return SlotMap.load(spark, path)
+
+
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot."""
+    """doc_id, size, text_crc32, virtual_slot, stored, since the copies of a repeated row are dealt by their place."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", "text").alias("key"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    rows = common.stored(rows, "records")
+    repeated = common.stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(True).alias("repeated")), "repeated")
+    slot = F.pmod(F.when(F.col("repeated"), F.xxhash64("key", "place")).otherwise(F.col("key")), F.lit(slots)).cast("int")
+    return common.stored(rows.join(common.if_small(repeated), "key", "left").select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "slotted")
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -110,11 +165,15 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS, map_path:
     slot in parallel and shifted by the rows of the shard's earlier slots.
     """
     spark = docs.sparkSession
-    records = common.stored(slotted(docs, slots), "records")
+    records = slotted(docs, slots)
     loads = {r.virtual_slot: (r.bytes, r.n_rows) for r in slot_loads(records).collect()}
     weights = [loads.get(k, (0, 0))[0] for k in range(slots)]
-    slot_map = SlotMap.balanced(weights, n_shards)
-    slot_map.save(spark, map_path or common.stored_path(spark, "slot-map"))
+    path = map_path or common.stored_path(spark, "slot-map")
+    slot_map = current_map(spark, path, slots, n_shards)
+    edited = slot_map.rebalanced(weights, n_shards, TOLERANCE)
+    if slot_map.n_shards != n_shards or slot_map.spread(weights) - edited.spread(weights) > TOLERANCE:
+        edited.save(spark, path)
+        slot_map = SlotMap.load(spark, path)
     start, offsets = [0] * n_shards, []
     for k in range(slots):
         s = slot_map.shard_of[k]
@@ -136,5 +195,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_sharding": op8_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the same placement: each record's size, and that no shard has a gap or a position twice."""
+    placed = op8_sharding(spark, sf_dir)
+    whole = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("positions"), F.max("slot").alias("last"), F.min("slot").alias("first"))
+    sound = whole.agg(F.bool_and((F.col("n") == F.col("positions")) & (F.col("last") == F.col("n") - 1) & (F.col("first") == 0)).alias("gapless"))
+    return placed.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(sound))
+
+
+QUERIES = {"op8_sharding": op8_sharding, "sharding_sizes": sharding_sizes}
+ORACLE_SQL: dict[str, str] = {
+    "sharding_sizes": f"select doc_id, cast(octet_length(encode(coalesce(text, ''))) + {OVERHEAD} as bigint) as size, count(*) as n, true as gapless from documents group by all",
+}

@@ -30,6 +30,30 @@ def test_sharding_law_and_positions(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_row_are_spread(spark):
+    """A third and more of all rows may be the same row; the shards stay even, for a few large rows as well."""
+    rows = [(1, "z" * 100)] * 2000 + [(k, "y" * (k % 300)) for k in range(300)] + [(None, None)] * 50
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    sizes = [sum(x["size"] for x in got if x.shard == s) for s in range(4)]
+    assert len(got) == len(rows) and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 4
+    assert all(sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got))) for s in range(4))
+
+
+def test_the_stored_map_is_used_and_edited(spark, tmp_path):
+    r = random.Random(3)
+    df = spark.createDataFrame([(k, "x" * r.randrange(500)) for k in range(3000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    first = {x.doc_id: x for x in sharding.shard(df, 6, 256, path).collect()}
+    uniform, edited = sharding.SlotMap.load(spark, path, 1), sharding.SlotMap.load(spark, path)
+    assert uniform == sharding.SlotMap.uniform(256, 6) and edited.version == 2
+    assert all(x.shard == edited.shard_of[x.virtual_slot] and x.map_version == 2 for x in first.values())
+    again = {x.doc_id: x for x in sharding.shard(df, 6, 256, path).collect()}  # nothing to edit: the same map
+    assert sharding.SlotMap.load(spark, path).version == 2 and all(again[k].shard == x.shard for k, x in first.items())
+    grown = {x.doc_id: x for x in sharding.shard(df, 7, 256, path).collect()}
+    moved = sum(grown[k].shard != x.shard for k, x in first.items())
+    assert sharding.SlotMap.load(spark, path).version == 3 and 0 < moved < 0.3 * len(first)
+
+
 def test_slot_maps(spark, tmp_path):
     r = random.Random(2)
     weights = [r.randrange(1000) for _ in range(512)]
