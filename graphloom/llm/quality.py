@@ -165,5 +165,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(docs, train(docs, common.table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the same verdicts that SQL can express."""
+    return op10_quality(spark, sf_dir).select("doc_id", *NAMES[:6])
+
+
+QUERIES = {"op10_quality": op10_quality, "quality_counts": quality_counts}
+_WORD = r"[^\x20\x09-\x0D]"
+ORACLE_SQL: dict[str, str] = {
+    "quality_counts": f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{_WORD}+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from d),
+p as (select r, unnest(range(1, len(w) - 1)) as p, w from w where len(w) >= 3),
+g as (select r, p, count(*) over (partition by r, w[p], w[p + 1], w[p + 2]) as n from p),
+m as (select r, count(distinct q) as n_repeat_words from (select r, unnest([p, p + 1, p + 2]) as q from g where n > 1) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+  len(w) < {MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {REPEATED_PERCENT} * len(w) as base_failed
+from w left join m using (r)""",
+}
