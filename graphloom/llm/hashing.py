@@ -55,13 +55,23 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * inv[starts])
 
 
-def shingle_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """The distinct hashes of the runs of n words; of fewer, but not none, the one run of all words."""
+def shingle_counts(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the runs of n words (of fewer, but not none, the one run of all words), and how often each occurs."""
     words = word_hashes(data)
     if not len(words):
-        return words
+        return words, np.empty(0, np.int64)
     n = min(n, len(words))
     m, h = len(words) - n + 1, np.full(len(words) - n + 1, np.uint64(n))
     for k in range(n):
         h = mixed(h * BASE + words[k : k + m])
-    return np.unique(h)
+    return np.unique(h, return_counts=True)
+
+
+def shingle_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of the occurrences of shingles: the k-th occurrence of one has a hash of its own, so that sets of these overlap as the counts do."""
+    h, counts = shingle_counts(data, n)
+    if len(h) == counts.sum():
+        return h
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    every = np.repeat(h, counts)
+    return np.unique(np.where(turn == 0, every, mixed(every + turn.astype(np.uint64) * BASE)))

@@ -1,10 +1,10 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact checks.
 
-Every distinct text is a weighted set of shingles of SHINGLE words. DartMinHash throws hashed darts, a Poisson process of
+Every distinct text is a weighted set of shingles of SHINGLE words, each weighing as often as it occurs. DartMinHash throws hashed darts, a Poisson process of
 unit density, at the plane of each element (weight by rank); those in the set's region (up to the element's weight, and
 up to a rank that leaves about COORDINATES * (ln COORDINATES + 2) darts) are dealt to COORDINATES coordinates by their
 hash, and each coordinate keeps its dart of the smallest rank. Two sets agree on a coordinate with the probability of
-their weighted Jaccard similarity; here all weights are 1. Texts that agree on all ROWS coordinates of a band meet in a
+their weighted Jaccard similarity. Texts that agree on all ROWS coordinates of a band meet in a
 bucket: at a similarity of 0.8, one of the 20 bands holds both with a probability of 0.99997.
 
 Buckets are never paired out. First each member is compared with the pivot of its bucket, and with those of the smaller
@@ -13,8 +13,9 @@ no other such text has are counted: they bound the similarity of a pair from abo
 drop out, and the text with the fewest is the next pivot. Last, members outside a bucket's largest class are held
 against those of other classes, inside a join that keeps only pairs whose bound allows a similarity of 0.8. Pairs whose
 signatures agree on fewer than AGREED coordinates are dropped in these joins (at a similarity of 0.8, 6 of 100,000
-pairs; the last join has longer signatures for the few texts left). Every link is checked exactly on the texts (Jaccard similarity of the shingle sets at least 0.8). Classes are
-the components of the links.
+pairs; the last join has longer signatures for the few texts left). Every link is checked exactly on the texts (Jaccard
+similarity of the shingle counts, the sum of the lesser by the sum of the greater ones, at least 0.8). Classes are the
+components of the links.
 
 Defined cases: equal texts are of one class, whatever their number; a null text counts as empty, and empty texts, like
 all texts without words, are only like equal ones; a text of fewer than SHINGLE words is one shingle; the class id is
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .hashing import BASE, mixed, shingle_hashes
+from .hashing import BASE, mixed, shingle_counts, shingle_hashes
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDINATES = BANDS * ROWS
@@ -114,8 +115,19 @@ def agreement(a, b, k: int = COORDINATES):
     return F.lit(k) - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, x: n + x)
 
 
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+
+
 def shingles(text: str) -> np.ndarray:
-    return shingle_hashes(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8), SHINGLE)
+    """A hash of each occurrence of a shingle."""
+    return shingle_hashes(letters(text), SHINGLE)
+
+
+def signature_of(text: str, k: int = COORDINATES) -> np.ndarray | None:
+    """The signature of the text's shingles, weighted by their counts."""
+    elements, counts = shingle_counts(letters(text), SHINGLE)
+    return signature(elements, counts.astype(np.float64), k)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -141,7 +153,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keys, packed = [], []
             for text in batch.column("text"):
-                sig = signature(shingles(text.as_py() or ""))
+                sig = signature_of(text.as_py() or "")
                 keys.append([] if sig is None else bands(sig).tolist())
                 packed.append([] if sig is None else lanes(sig))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))], ["doc_id", "node", "keys", "lanes"])
@@ -155,7 +167,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of wanted (node, rep), stored. The one shuffle of texts; the doc_id is part of its key, so that a text of many copies does not gather them all."""
     asked = wanted.select(F.col("node").alias("n2"), "rep")
     both = with_digest(docs.select("doc_id", "text")).join(asked, (F.col("node") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    return common.stored(both.select("node", "text"), "texts")
+    return common.stored(both.groupBy("node").agg(F.first("text").alias("text")), "texts")  # a row may be repeated
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,8 +195,9 @@ def own_shingles(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py() or "").view(np.int64) for t in batch.column("text")]
-            fine = [lanes(signature(h.view(np.uint64), k=FINE)) if len(h) else [0] * (FINE // 8) for h in sets]
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            sets = [shingles(t).view(np.int64) for t in texts]
+            fine = [lanes(signature_of(t, FINE)) if len(h) else [0] * (FINE // 8) for t, h in zip(texts, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64()))], ["node", "hashes", "fine"])
 
     sets = common.stored(texts.mapInArrow(run, "node binary, hashes array<long>, fine array<long>"), "shingles")
@@ -220,6 +233,7 @@ def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
 def starred(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (band, key, node) of buckets of several nodes, and the pairs of nodes with their bucket's pivot, the smallest node, that agree enough."""
     pivots = rows.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pivots = common.stored(pivots, "pivots")  # so that the join that follows is one of two plain scans, whose hot buckets AQE splits
     pivots = pivots.join(nodes.select(F.col("node").alias("a"), F.col("lanes").alias("pl")), "a")
     members = common.stored(rows.join(pivots, ["band", "key"]), "members")
     its = nodes.select(F.col("node").alias("b"), "lanes")
@@ -237,7 +251,7 @@ def in_several(members: DataFrame, labels: DataFrame) -> DataFrame:
     placed = members.select("band", "key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     sizes = placed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("c"))
     several = sizes.groupBy("band", "key").agg(F.max_by("class", F.struct("c", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
-    return common.stored(placed.join(several, ["band", "key"]), "several")
+    return common.stored(placed.join(common.stored(several, "buckets"), ["band", "key"]), "several")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -257,7 +271,7 @@ def classes(docs: DataFrame) -> DataFrame:
     own = own_shingles(texts.join(several.select("node").distinct(), "node", "left_semi"))
     able = common.stored(own.filter("5 * own <= n").join(nodes.select("node", "keys"), "node"), "able")
     several = several.join(able, "node")
-    pivots = several.groupBy("band", "key").agg(F.min_by(F.struct("node", "class", "n", "own"), F.struct("own", "node")).alias("p"))
+    pivots = common.stored(several.groupBy("band", "key").agg(F.min_by(F.struct("node", "class", "n", "own"), F.struct("own", "node")).alias("p")), "pivots")
     allowed = lambda n, own, m, its: 9 * F.least(n - own, m - its) >= 4 * (n + m)
     star = several.join(pivots, ["band", "key"]).filter((F.col("class") != F.col("p.class")) & allowed(F.col("n"), F.col("own"), F.col("p.n"), F.col("p.own")))
     star = star.join(able.select(F.col("node").alias("pn"), F.col("fine").alias("pf")), (F.col("p.node") == F.col("pn")) & (agreement(F.col("fine"), F.col("pf"), FINE) >= FINE_AGREED))

@@ -212,6 +212,27 @@ def test_classes_against_brute_force(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0 and near_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_shingles_weigh_by_their_counts():
+    line = "one two three four five six seven eight. "
+    many, few = line * 20, line * 10
+    assert not near_dedup.similar(near_dedup.shingles(many), near_dedup.shingles(few))
+    assert near_dedup.similar(near_dedup.shingles(many), near_dedup.shingles(line * 18))
+    agree = lambda a, b: (near_dedup.signature_of(a, 4096) == near_dedup.signature_of(b, 4096)).mean()
+    x, y = near_dedup.shingles(many), near_dedup.shingles(few + "and then some other words of its own " * 4)
+    both = len(np.intersect1d(x, y))
+    assert abs(agree(many, few + "and then some other words of its own " * 4) - both / (len(x) + len(y) - both)) < 0.04
+
+
+def test_many_repeated_rows(spark):
+    """Rows that repeat, id and text alike, are compared once."""
+    r = random.Random(12)
+    lex = [f"w{k}" for k in range(300)]
+    base = " ".join(r.choices(lex, k=100))
+    rows = [(1, base)] * 700 + [(2, family(r, lex, base, 1))] * 700 + [(3, " ".join(r.choices(lex, k=90)))] * 100
+    got = near_dedup.near_duplicates(spark.createDataFrame([(*x, "en", "s", 1) for x in rows], DOCS)).collect()
+    assert len(got) == 1500 and {(x.doc_id, x.class_id, x.n_texts) for x in got} == {(1, 1, 2), (2, 1, 2), (3, 3, 1)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40) if k != 20], "a binary, b binary")
     rows = {bytes(x.node)[0]: bytes(x["class"])[0] for x in near_dedup.components(links).collect()}
