@@ -6,13 +6,15 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: A relation of at most this many narrow rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: The same for bytes, where rows are wide.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,12 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def if_light(df: DataFrame, text: Column, size: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same where rows are wide: df is also counted to hold at most size bytes of text (a string column of it)."""
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
 def null_safe_key(*columns: str):
     """A 64-bit key of columns, of which any may be null."""
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])

@@ -4,7 +4,9 @@ Terms of the benchmark are counted over all documents; of each window of an item
 The postings (term, document, position) of the anchors are stored. Subtracting an anchor's place in its item from a
 posting's position gives the offset at which the item would lie in the document; lists adjusted in this way are
 intersected, and an offset on which too few anchors agree is dropped. What remains is compared word by word, so matches
-are exact. An item of which some window has a term that no document has cannot match there.
+are exact. An item of which some window has a term that no document has cannot match there. Of windows of an item that have
+the same words only the first is looked for, so that an item of a few words over and over meets a document of the same words
+once for each of its places, not once for each pair of places.
 
 Words: A-Z lower-cased, then runs of ASCII letters, digits and all characters beyond ASCII. A window is WINDOW
 consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -63,25 +65,27 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(found, "term", "left").select("term", F.coalesce("n_postings", F.lit(0)).alias("n_postings"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """item_key, term, place: the rarest terms of each window, less the windows with a term that occurs nowhere."""
-    places = items.select("item_key", "n", F.posexplode("item_words").alias("place", "term"))
-    terms = (
-        places.join(counts, "term")
-        .groupBy("item_key", "n").agg(F.array_sort(F.collect_list(F.struct("place", "n_postings", "term"))).alias("at"))
-    )
-    starts = F.sequence(F.lit(0), F.size("at") - F.col("n"))
-    windows = terms.select("item_key", "n", "at", F.explode(starts).alias("start")).select(
-        "item_key", F.array_sort(F.transform(F.slice("at", F.col("start") + 1, F.col("n")), lambda x: F.struct(x.n_postings.alias("n_postings"), x.place.alias("place"), x.term.alias("term")))).alias("window")
-    )
-    return windows.filter(F.element_at("window", 1).n_postings > 0).select("item_key", F.explode(F.slice("window", 1, rare)).alias("a")).select("item_key", "a.term", "a.place").distinct()
+def windows_of(items: DataFrame) -> DataFrame:
+    """item_key, n, start, window (words) of the distinct windows of each item, each at its first place."""
+    starts = F.sequence(F.lit(0), F.size("item_words") - F.col("n"))
+    rows = items.select("item_key", "n", "item_words", F.explode(starts).alias("start")).select("item_key", "n", "start", F.expr("slice(item_words, start + 1, n)").alias("window"))
+    return rows.groupBy("item_key", "n", "window").agg(F.min("start").alias("start"))
+
+
+def anchors(windows: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
+    """item_key, start, term, place: the rarest terms of each window, less the windows with a term that occurs nowhere."""
+    terms = windows.select("item_key", "n", "start", F.posexplode("window").alias("at", "term")).join(counts, "term")
+    ordered = terms.groupBy("item_key", "n", "start").agg(F.array_sort(F.collect_list(F.struct("n_postings", (F.col("start") + F.col("at")).alias("place"), "term"))).alias("w"))  # a window has few words
+    return ordered.filter(F.element_at("w", 1).n_postings > 0).select("item_key", "start", F.explode(F.slice("w", 1, rare)).alias("a")).select("item_key", "start", "a.term", "a.place")
 
 
 def phrase_candidates(index: DataFrame, items: DataFrame, anchored: DataFrame, rare: int = RARE) -> DataFrame:
-    """doc_key, item_key, offset (position of the item's first word, perhaps negative) on which enough anchors agree."""
-    hits = index.join(common.if_small(anchored), "term").select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("offset"), "place")
+    """doc_key, item_key, offsets (positions of the item's first word, perhaps negative) on which enough anchors agree."""
+    places = anchored.select("item_key", "term", "place").distinct()
+    hits = index.join(common.if_small(places), "term").select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("offset"), "place")
     agreed = hits.groupBy("doc_key", "item_key", "offset").agg(F.count(F.lit(1)).alias("agreed"))
-    return agreed.join(common.if_small(items.select("item_key", "item_id", "item_words", "n"), 20_000), "item_key").filter(F.col("agreed") >= F.least(F.lit(rare), F.col("n")))
+    enough = agreed.join(common.if_small(items.select("item_key", "n")), "item_key").filter(F.col("agreed") >= F.least(F.lit(rare), F.col("n")))
+    return enough.groupBy("doc_key", "item_key").agg(F.collect_list("offset").alias("offsets"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, width: int) -> DataFrame:
@@ -103,18 +107,24 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare: int =
     rows = common.stored(item_rows(items, window), "items")
     terms = common.stored(rows.select(F.explode("item_words").alias("term")).distinct(), "terms")
     counts = common.stored(term_counts(docs, terms), "term-counts")
-    anchored = common.stored(anchors(rows, counts, rare), "anchors")
+    anchored = common.stored(anchors(windows_of(rows), counts, rare), "anchors")
     index = common.stored(postings(docs, anchored.select("term").distinct()), "postings")
-    found = phrase_candidates(index, rows, anchored, rare)
-    per_doc = found.groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "offset", "item_words", "n")).alias("candidates"))
+    looked = anchored.groupBy("item_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    wanted = common.stored(rows.join(looked, "item_key").select("item_key", "item_id", "item_words", "n", "starts"), "wanted")
+    # The words of an item come once to a document, however many offsets it has there.
+    found = phrase_candidates(index, rows, anchored, rare).join(common.if_light(wanted, F.array_join("item_words", " "), rows=20_000), "item_key")
+    per_doc = found.groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "offsets", "item_words", "n", "starts")).alias("candidates"))
     joined = keyed(docs).hint("merge").join(per_doc, "doc_key", "left").drop("doc_key").withColumn("doc_words", words("text"))
 
     def hits(c: Column) -> Column:
         """The places, from 0, of the document's words that are in windows of candidate c."""
-        first, last = F.greatest(F.lit(0), -c.offset), F.least(F.size(c.item_words) - c.n, F.size("doc_words") - c.n - c.offset)
-        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        same = F.filter(starts, lambda s: F.slice("doc_words", s + c.offset + 1, c.n) == F.slice(c.item_words, s + 1, c.n))
-        return F.flatten(F.transform(same, lambda s: F.sequence(s + c.offset, s + c.offset + c.n - 1)))
+
+        def at(offset: Column) -> Column:
+            inside = F.filter(c.starts, lambda s: (s + offset >= 0) & (s + offset + c.n <= F.size("doc_words")))
+            same = F.filter(inside, lambda s: F.slice("doc_words", s + offset + 1, c.n) == F.slice(c.item_words, s + 1, c.n))
+            return F.flatten(F.transform(same, lambda s: F.sequence(s + offset, s + offset + c.n - 1)))
+
+        return F.flatten(F.transform(c.offsets, at))
 
     compared = joined.withColumn("hits", F.transform("candidates", lambda c: F.struct(c.item_id.alias("item_id"), hits(c).alias("places"))))
     real = compared.withColumn("hits", F.filter(F.coalesce("hits", F.array().cast("array<struct<item_id:string,places:array<int>>>")), lambda h: F.size(h.places) > 0))

@@ -402,6 +402,20 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.report(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Items and documents of one word, or of a few words over and over, cost time in proportion to their lengths."""
+    import time
+
+    items = [(1, "the " * 2000), (2, "a b " * 500), (3, "x y z " + "the " * 30)]
+    docs = [(1, "the " * 20_000), (2, "b " + "a b " * 6000), (3, "x y z " * 10 + "the " * 12), (4, "q " * 100 + "the " * 13)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in decontamination.report(d, b).collect()}
+    assert time.time() - began < 120
+    assert (rows[1].n_hit, rows[1].n_items) == (20_000, 2) and (rows[2].n_hit, rows[2].n_items) == (12_001, 1)
+    assert (rows[3].n_hit, rows[3].n_items) == (15, 1) and (rows[4].n_hit, rows[4].n_items) == (13, 2)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "beta alpha")], "doc_id long, text string")
     index = decontamination.postings(docs)
