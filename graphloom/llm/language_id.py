@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 The posterior of a language multiplies the text's likelihood (hashed runs of three bytes, learned from a bounded sample
-of rows with a declared language: FIT_ROWS rows, those with the smallest hash of doc_id), the likelihood of the
-declared markup language, and a prior from the host, which is smoothed towards the host's domain, that towards its
+of rows with a declared language: of each language those whose hash of doc_id is below a share that leaves about FIT_ROWS of
+them, so that rare languages are all learned), the likelihood of the declared markup language, and a prior from the host, which is smoothed towards the host's domain, that towards its
 address suffix, and that towards all rows. The counts behind declaration and priors come from grouped aggregation of what
 the text alone says, over all rows.
 
@@ -10,7 +10,8 @@ A row is rejected if no language reaches MIN_POSTERIOR, or if its text has no le
 
 Defined cases: a null or empty text, or one without letters, is undetermined ("und") and rejected; a null declaration, host or suffix
 is no evidence; without any declared language nothing can be learned, and all rows with letters are undetermined but not
-rejected; repeated rows give repeated results; an empty table gives no rows; other columns pass through.
+rejected; of repeated rows of the sample one is learned, repeated rows give repeated results; an empty table gives no rows;
+other columns pass through, but for those named language, posterior or rejected, whose place the results take.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-FIT_ROWS, BUCKETS, MAX_LANGUAGES = 4000, 1 << 14, 64
+#: Rows learned of each language, about; buckets of byte runs.
+FIT_ROWS, BUCKETS = 1000, 1 << 14
+#: Numbers in the priors of hosts that may be broadcast (16 MB), and parts into which a host's rows are dealt beyond that.
+BROADCAST_PRIORS, PARTS = 2_000_000, 32
 #: Runs beyond this many add no further certainty, since they are not independent.
 TRUSTED_RUNS = 120
 #: Pseudo-counts with which a host leans on its domain, a domain on its suffix, a suffix on all rows.
@@ -78,8 +82,10 @@ class TextModel:
 def fit(rows: DataFrame) -> TextModel:
     """rows: doc_id, text, declared."""
     common.arrow_batches(rows.sparkSession)
-    chosen = rows.filter("declared is not null and doc_id is not null and text is not null").select("doc_id", "declared").orderBy(F.xxhash64("doc_id"), "doc_id", "declared").limit(FIT_ROWS)
-    sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = rows.filter("declared is not null and doc_id is not null and text is not null")
+    share = known.groupBy("declared").agg((F.lit(FIT_ROWS) / F.count(F.lit(1))).alias("share"))  # one row for each language
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) * F.lit(2.0**-53)
+    sample = known.join(F.broadcast(share), "declared").filter(hashed < F.col("share")).groupBy("doc_id", "declared").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +98,7 @@ def fit(rows: DataFrame) -> TextModel:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     sums = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("at")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect()  # a vector of BUCKETS counts for each language
+    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("at")).collect()  # a vector of BUCKETS counts for each language
     counts = {}
     for r in got:
         counts[r.lang] = np.zeros(BUCKETS)
@@ -140,12 +146,27 @@ def host_priors(counts: DataFrame, n_languages: int) -> DataFrame:
     return vectors(of, "suffix", "domain", "host").join(domains, ["suffix", "domain"]).select("host", leaned(F.col("v"), F.col("dp")).alias("prior"))
 
 
+def with_priors(rows: DataFrame, priors: DataFrame, n_languages: int, name: str) -> DataFrame:
+    """rows with the prior of their host as name. Beyond what may be broadcast, rows are dealt by host and a part, so that neither a host of many rows nor rows without one meet in one task."""
+    priors = priors.select(F.col("host").alias(f"{name}_host"), F.col("prior").alias(name))
+    on = F.col("host") == F.col(f"{name}_host")
+    most = BROADCAST_PRIORS // (n_languages + 4)
+    if priors.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(priors), on, "left").drop(f"{name}_host")
+    part, its = f"{name}_part", f"{name}_its"
+    dealt = rows.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    spread = priors.withColumn(its, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(spread.hint("merge"), on & (F.col(part) == F.col(its)), "left").drop(f"{name}_host", part, its)
+
+
 def identified(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, declared, host, and any others) with language, posterior and rejected.
 
     Two passes over the texts; only priors of hosts are joined to them.
     """
     common.arrow_batches(rows.sparkSession)
+    rows = rows.drop("language", "posterior", "rejected")
+    name = next(n for k in range(len(rows.columns) + 1) if not any(c.startswith(n := f"_prior{k}") for c in rows.columns))
     model = fit(rows.select("doc_id", "text", "declared"))
     out = T.StructType([*rows.schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     names = model.languages
@@ -157,19 +178,19 @@ def identified(rows: DataFrame) -> DataFrame:
             table[names.index(r.declared), r.guess] += r.n
         declared = dict(zip(names, np.log(table / table.sum(0)), strict=True))
         priors = common.stored(host_priors(counts, len(names)), "priors")
-        joined = rows.join(common.if_small(priors.withColumnRenamed("host", "_host"), 50_000), F.col("host") == F.col("_host"), "left").drop("_host")
+        joined = with_priors(rows, priors, len(names), name)
         total = counts.groupBy("guess").agg(F.sum("n").alias("n")).collect()
         base = np.ones(len(names))
         for r in total:
             base[r.guess] += r.n
         base = np.log(base / base.sum())
     else:
-        declared, base, joined = {}, np.empty(0), rows.withColumn("prior", F.lit(None).cast("array<double>"))
+        declared, base, joined = {}, np.empty(0), rows.withColumn(name, F.lit(None).cast("array<double>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             language, posterior, rejected = [], [], []
-            for text, said_, prior in zip(batch.column("text"), batch.column("declared"), batch.column("prior"), strict=True):
+            for text, said_, prior in zip(batch.column("text"), batch.column("declared"), batch.column(name), strict=True):
                 t = text.as_py() or ""
                 if not names or not LETTER.search(t):
                     language.append(UND)
@@ -188,7 +209,7 @@ def identified(rows: DataFrame) -> DataFrame:
             kept = [batch.column(c) for c in out.names[:-3]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(language, pa.string()), pa.array(posterior, pa.float64()), pa.array(rejected, pa.bool_())], out.names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], "prior").mapInArrow(run, out)
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], name).mapInArrow(run, out)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

@@ -267,6 +267,75 @@ def test_languages(spark):
     assert got[900].rejected and got[901].rejected and got[901].language == "und" and got[902].language == "en"
 
 
+def plain_languages(rows):
+    """(language, posterior) of each row (text, declared, host) by one process: likelihoods, counts and smoothed shares."""
+    def grams(t):
+        b = f" {t.lower()} ".encode()
+        return [((((b[k] << 16) | (b[k + 1] << 8) | b[k + 2]) * 2654435761) % 2**32) >> 18 for k in range(len(b) - 2)]
+
+    names = sorted({d for t, d, _ in rows if d and t is not None})
+    log = {}
+    for x in names:
+        n = np.bincount([g for t, d, _ in rows if d == x and t is not None for g in grams(t)], minlength=language_id.BUCKETS) + 0.5
+        log[x] = np.log(n / n.sum())
+
+    def likelihood(t):
+        g = grams(t)
+        return np.array([log[x][g].mean() * min(len(g), language_id.TRUSTED_RUNS) for x in names])
+
+    spoken = [bool(re.search(r"[^\W\d_]", t or "")) for t, _, _ in rows]
+    guess = [int(likelihood(t).argmax()) if ok else None for (t, _, _), ok in zip(rows, spoken, strict=True)]
+    said, total = np.full((len(names), len(names)), 0.5), np.ones(len(names))
+    for (_, d, _), g in zip(rows, guess, strict=True):
+        if g is not None:
+            total[g] += 1
+            if d in names:
+                said[names.index(d), g] += 1
+    said = np.log(said / said.sum(0))
+    top = np.array([sum(g == k for g in guess) + 1 for k in range(len(names))], float)
+    share = top / (sum(g is not None for g in guess) + len(names))
+
+    def leaned(of, on):
+        n = np.array([sum(g == k and h is not None and of(h) for (_, _, h), g in zip(rows, guess, strict=True)) for k in range(len(names))], float)
+        return (n + language_id.LEAN * on) / (n.sum() + language_id.LEAN)
+
+    suffix = lambda h: h.rsplit(".", 1)[1] if "." in h else ""
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    seen = {h for (_, _, h), g in zip(rows, guess, strict=True) if g is not None and h is not None}
+    priors = {h: leaned(lambda x, h=h: x == h, leaned(lambda x, h=h: domain(x) == domain(h), leaned(lambda x, h=h: suffix(x) == suffix(h), share))) for h in seen}
+    out = []
+    for (t, d, h), ok in zip(rows, spoken, strict=True):
+        if not ok:
+            out.append(("und", 0.0))
+            continue
+        s = likelihood(t) + (np.log(priors[h]) if h in priors else np.log(total / total.sum())) + (said[names.index(d)] if d in names else 0)
+        e = np.exp(s - s.max())
+        e /= e.sum()
+        out.append((names[int(e.argmax())] if e.max() >= language_id.MIN_POSTERIOR else "und", float(e.max())))
+    return out
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_languages_against_brute_force(spark, monkeypatch, most):
+    """Seventy languages and all kinds of evidence; most = 0: priors too many to be broadcast."""
+    monkeypatch.setattr(language_id, "BROADCAST_PRIORS", most)
+    r = random.Random(14)
+    tags = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 2)) + "x" * (k % 2) for k in range(70)]
+    lex = {x: ["".join(r.choices("abcdeghilmnorstuvé", k=r.randrange(2, 7))) for _ in range(12)] for x in tags}
+    rows = []
+    for k in range(400):
+        x = tags[k % 70] if k < 210 else r.choice(tags[:5])
+        rows.append((" ".join(r.choices(lex[x], k=r.randrange(2, 30))), r.choice([x, x, x, None, "zz"]), r.choice([f"a{k % 3}.{x}.{x[0]}", f"{x}.{x[0]}", "shared", None])))
+    rows += [(None, "en", "h.com"), ("", None, None), ("12 !", "en", "shared"), (" ".join(lex[tags[0]]), None, None)]
+    df = spark.createDataFrame([(k, *x, "p", "q", 1) for k, x in enumerate(rows)], "doc_id long, text string, declared string, host string, prior string, language string, _prior0 int")
+    got = language_id.identified(df)
+    assert got.columns == ["doc_id", "text", "declared", "host", "prior", "_prior0", "language", "posterior", "rejected"]
+    got = {x.doc_id: x for x in got.collect()}
+    want = plain_languages(rows)
+    assert len(got) == len(rows) and all(got[k].prior == "p" and got[k]._prior0 == 1 for k in got)
+    assert all(abs(got[k].posterior - p) < 1e-3 and (got[k].language == x or abs(p - language_id.MIN_POSTERIOR) < 1e-3) for k, (x, p) in enumerate(want))
+
+
 def test_language_parts(spark):
     df = spark.createDataFrame([("HTTPS://u@M.Example.co.UK:8/x", "EN-us")], "u string, t string")
     row = df.select(language_id.host_of(F.col("u")).alias("h"), language_id.primary(F.col("t")).alias("p")).first()
