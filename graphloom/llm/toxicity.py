@@ -4,16 +4,21 @@ Terms are words and their beginnings of 4 to 6 letters. Every term that at least
 of a bounded sample of labelled rows (EXAMPLES rows, those with the smallest hash of doc_id), clean or toxic. A term weighs
 its inverse document frequency times the size of its log odds between toxic and clean examples (at least LEAST), a ratio that
 does not grow with the number of rows; without it the many neutral words of a text drown the few that speak.
-The K nearest are exact: the terms of the longest posting lists have, for each block of BLOCK examples, their largest
-weight; the other terms are summed over their postings; blocks are visited by falling upper bound until none can reach the
-K-th best. Votes, weighted by distance, are calibrated by Platt's method on the examples, each scored without itself.
+The K nearest are exact. Short posting lists are summed. The LONG longest lists are not read: they have, for each block of
+BLOCK examples, their largest weight, which bounds what they add to an example's cosine. The FIRST examples by bound are
+compared with the text term by term, then all others whose bound reaches the K-th best.
+Votes, weighted by distance, are calibrated by Platt's method on the examples, each scored without itself.
 Documents without any term get the smoothed rate of the examples.
 
+Weights are numbers of single precision; cosines of them are summed in double precision.
+
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0; doc_id, lang and source are not scored.
 
-Defined cases: a null or empty text has no terms; without learnable labels all scores are 0; labels other than 0 and 1 and
-labels of a null doc_id are not used; of repeated labels the largest holds; repeated rows give repeated results; an empty
-table gives no rows.
+Defined cases: a null or empty text has no terms; without learnable labels all scores are 0, with those of one class only
+all are its smoothed rate; labels other than 0 and 1 and labels of a null doc_id are not used; ids and labels may be of any
+type that casts to a string and to a number; of repeated labels the largest holds, of repeated ids with unlike texts the one
+whose vector's bytes come first is an example; repeated rows give repeated results; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,10 @@ from . import common
 from .quality import platt
 
 EXAMPLES, LEAST = 12_000, 0.01
-#: LONG: terms, those with most postings, whose weights are held as rows and bounded by blocks. VISITED: blocks visited at once.
-BLOCK, K, LONG, VISITED = 64, 15, 1024, 4
+#: Examples in a block, nearest ones that vote, posting lists that are bounded by blocks, and examples compared first.
+BLOCK, K, LONG, FIRST = 16, 15, 4096, 24
+#: Sums of single precision may be off by this much; bounds are raised by it.
+SLACK = 1e-6
 #: Weight of the prior in a vote, in neighbours at distance 0.1.
 PRIOR = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -46,77 +54,143 @@ def terms_of(word: str) -> set[str]:
     return {word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) >= n)}
 
 
+def numbers(counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by term number as two arrays, terms ascending."""
+    if isinstance(counts, dict):
+        t = np.fromiter(counts, np.int32, len(counts))
+        order = np.argsort(t)
+        return t[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+    return counts
+
+
+class Words(dict):
+    """The numbers of the terms of each word met; the whole is forgotten now and then, so that it stays bounded."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+        return ids
+
+
 class Index:
-    """Vectors of examples with labels, searched exactly by blocks."""
+    """Vectors of examples with labels, searched exactly by blocks.
+
+    What is kept and sent to workers are the postings: by term, the examples that hold it and how often. Weights, and the
+    rows of the terms with most postings, are made of them wherever the index is loaded.
+    """
 
-    def __init__(self, idf: dict[str, float], rows: Iterable[tuple[int, dict[int, int], int]], empty: tuple[int, int]):
+    def __init__(self, idf: dict[str, float], rows: Iterable[tuple[str, dict[int, int], int]], empty: tuple[int, int]):
         """idf: weights of the terms. rows: doc_id, counts by term number, label. empty: how many examples a text without any term is judged by, and how many of those are toxic."""
-        self.terms = {t: k for k, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()) or [0.0])
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.names, self.idf = list(idf), np.array(list(idf.values()) or [0.0])
         self.empty = (empty[1] + 1) / (empty[0] + 2) if empty[0] else 0.0
-        vectors = [(i, *self.vector(c), y) for i, c, y in rows]
-        vectors.sort(key=lambda r: (int(r[1][np.argmax(r[2])]), r[0]))  # like beside like, so that bounds are tight
-        self.ids = np.array([r[0] for r in vectors], np.int64)
-        self.y = np.array([r[3] for r in vectors], np.float64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        term = np.concatenate([r[1] for r in vectors] or [np.empty(0, np.int32)])
-        n = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(r[1]) for r in vectors])
-        weight = np.concatenate([r[2] for r in vectors] or [np.empty(0)])
-        ends = np.cumsum([len(r[1]) for r in vectors]).tolist()
-        vectors = [(i, term[e - len(t) : e], weight[e - len(t) : e], y) for (i, t, _, y), e in zip(vectors, ends, strict=True)]  # views, so that the numbers are held once
-        df = np.bincount(term, minlength=len(self.idf))
-        long = np.argsort(-df, kind="stable")[:LONG]
-        self.row = np.full(len(self.idf), -1, np.int32)
-        self.row[long] = np.arange(len(long))
-        self.long = np.zeros((self.blocks * BLOCK, len(long)))
-        at = self.row[term] >= 0
-        self.long[n[at], self.row[term[at]]] = weight[at]
-        self.bound = self.long.reshape(self.blocks, BLOCK, len(long)).max(1)
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.long, self.long))
-        term, n, weight = term[~at], n[~at], weight[~at]
-        order = np.argsort(term, kind="stable")
-        self.at, self.weight = n[order].astype(np.intp), weight[order]
-        del at, n, weight, order
+        found = []
+        for i, c, y in rows:
+            t, n = numbers(c)
+            found.append((i, t, n, y, int(t[np.argmax((1 + np.log(n)) * self.idf[t])])))
+        found.sort(key=lambda r: (r[4], r[0]))  # like beside like, so that bounds are tight
+        self.ids = np.array([r[0] for r in found], object)
+        self.y = np.array([r[3] for r in found], np.float64)
+        sizes = [len(r[1]) for r in found]
+        term = np.concatenate([r[1] for r in found] or [np.empty(0, np.int32)])
+        count = np.concatenate([r[2] for r in found] or [np.empty(0, np.int32)])
+        del found
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        n = np.repeat(np.arange(len(sizes)).astype(np.min_scalar_type(len(sizes))), sizes)
+        self.at, self.n = n[order], count[order].astype(np.min_scalar_type(int(count.max(initial=0))))
         self.cut = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(self.idf)))))
+        del n, count, term, order
         self.a, self.b = 1.0, 0.0
-        if len(vectors) >= 10 and 0 < self.y.sum() < len(vectors):
-            s = np.array([self.logit(self.search(t, w, skip=n)) for n, (_, t, w, _) in enumerate(vectors)])
+        self.weigh()
+        if len(sizes) >= 10 and 0 < self.y.sum() < len(sizes):
+            s = np.array([self.logit(self.search(*self.example(n), skip=n)) for n in range(len(sizes))])
             self.a, self.b = platt(s, self.y.astype(int))
-        self.seen: dict = {}
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int32)
-        w = (1 + np.log(np.array([counts[k] for k in t.tolist()], np.float64))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+    def weigh(self) -> None:
+        """Makes the weights of the postings, the rows of the long lists, and their bounds."""
+        self.terms = {t: k for k, t in enumerate(self.names)}
+        self.words = Words(self.terms)
+        self.seen: dict = {}
+        self.blocks = -(-len(self.ids) // BLOCK)
+        df = np.diff(self.cut)
+        square, self.weight, step = np.zeros(len(self.ids)), np.empty(len(self.at), np.float32), 1 << 20
+        raw = lambda k: (1 + np.log(self.n[k : k + step].astype(np.float64))) * np.repeat(self.idf, df)[k : k + step]
+        parts = range(0, len(self.at), step)
+        for k in parts:
+            square += np.bincount(self.at[k : k + step], raw(k) ** 2, minlength=len(square))
+        for k in parts:
+            self.weight[k : k + step] = raw(k) / np.sqrt(square)[self.at[k : k + step]]
+        order = np.argsort(self.at, kind="stable").astype(np.int32)
+        self.term_of, self.weight_of = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], self.weight[order]
+        self.cut_of = np.concatenate(([0], np.cumsum(np.bincount(self.at, minlength=len(self.ids)))))
+        del order
+        long = np.argsort(-df, kind="stable")[:LONG]
+        self.row = np.full(len(self.idf), -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.bound, square = np.zeros((len(long), self.blocks), np.float32), np.zeros(len(self.ids))
+        for k, t in enumerate(long.tolist()):
+            at, weight = self.at[self.cut[t] : self.cut[t + 1]], self.weight[self.cut[t] : self.cut[t + 1]]
+            np.maximum.at(self.bound[k], at // BLOCK, weight)
+            square[at] += weight.astype(np.float64) ** 2
+        self.norm, self.query = np.sqrt(square), np.zeros(len(self.idf))
+
+    def example(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of an example."""
+        its = slice(self.cut_of[n], self.cut_of[n + 1])
+        return self.term_of[its], self.weight_of[its].astype(np.float64)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("names", "idf", "empty", "ids", "y", "at", "n", "cut", "a", "b")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.weigh()
+
+    def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and their weights, rounded to single precision."""
+        t, n = numbers(counts)
+        w = (1 + np.log(n.astype(np.float64))) * self.idf[t]
+        return t, (w / np.sqrt(np.add.accumulate(w * w)[-1])).astype(np.float32).astype(np.float64)
+
+    def cosines(self, examples: np.ndarray) -> np.ndarray:
+        """Those of examples with the text in self.query."""
+        cuts = list(zip(self.cut_of[examples].tolist(), self.cut_of[examples + 1].tolist(), strict=True))
+        products = self.query[np.concatenate([self.term_of[a:b] for a, b in cuts])] * np.concatenate([self.weight_of[a:b] for a, b in cuts])
+        return np.add.reduceat(products, np.concatenate(([0], np.cumsum([b - a for a, b in cuts])[:-1])))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine, as (cosine, example), ties by example."""
-        is_long = self.row[terms] >= 0
-        q = np.zeros(self.long.shape[1])
-        q[self.row[terms[is_long]]] = weights[is_long]
-        start = self.cut[terms[~is_long]]
-        size = self.cut[terms[~is_long] + 1] - start
-        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        short = np.bincount(self.at[at], np.repeat(weights[~is_long], size) * self.weight[at], minlength=len(self.long))
+        row = self.row[terms]
+        is_long = row >= 0
+        lists, q = terms[~is_long], weights[is_long]
+        cuts = list(zip(self.cut[lists].tolist(), self.cut[lists + 1].tolist(), strict=True))
+        at = np.concatenate([self.at[a:b] for a, b in cuts] or [self.at[:0]])
+        part = np.concatenate([self.weight[a:b] for a, b in cuts] or [self.weight[:0]])
+        short = np.bincount(at, np.repeat(weights[~is_long], [b - a for a, b in cuts]) * part, minlength=len(self.ids))
         # Of an example the long terms add at most the product of the norms, and at most its block's largest weights.
-        least = (short + math.sqrt(q @ q) * self.norm).reshape(self.blocks, BLOCK).max(1)
-        bounds = np.minimum(least, short.reshape(self.blocks, BLOCK).max(1) + self.bound @ q)
-        order = np.argsort(-bounds, kind="stable")
+        bounds = np.minimum(math.sqrt(q @ q) * self.norm, np.repeat(q.astype(np.float32) @ self.bound[row[is_long]], BLOCK)[: len(short)])
+        bounds += short
+        bounds += SLACK * (bounds > 0)
+        if skip >= 0:
+            bounds[skip] = 0
+        self.query[terms] = weights
+        first = np.argpartition(-bounds, min(FIRST, len(bounds)) - 1)[:FIRST]
+        first = first[bounds[first] > 0]
         best: list[tuple[float, int]] = []
-        for first in range(0, self.blocks, VISITED):
-            visit = order[first : first + VISITED]
-            visit = visit[(bounds[visit] > 0) & (bounds[visit] >= (best[-1][0] - 1e-12 if len(best) == k else 0))]
-            if not len(visit):
-                break
-            for block in visit.tolist():
-                base = block * BLOCK
-                scores = short[base : base + BLOCK] + self.long[base : base + BLOCK] @ q
-                if 0 <= skip - base < BLOCK:
-                    scores[skip - base] = 0
-                hit = np.flatnonzero(scores >= best[-1][0] if len(best) == k else scores > 0)
-                if len(hit):
-                    best = sorted([*best, *((float(scores[n]), base + n) for n in hit.tolist() if scores[n] > 0)], key=lambda x: (-x[0], x[1]))[:k]
+        if len(first):
+            scores = self.cosines(first)
+            kth = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+            rest = np.flatnonzero((bounds >= kth) & (bounds > 0))
+            rest = rest[~np.isin(rest, first)]
+            if len(rest):
+                first, scores = np.concatenate((first, rest)), np.concatenate((scores, self.cosines(rest)))
+            order = np.lexsort((first, -scores))[:k]
+            best = [(s, n) for s, n in zip(scores[order].tolist(), first[order].tolist(), strict=True) if s > 0]
+        self.query[terms] = 0
         return best
 
     def logit(self, near: list[tuple[float, int]]) -> float:
@@ -126,24 +200,15 @@ class Index:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.words
-        for word, n in Counter(WORDS.findall(text.lower())).items():
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = ids
-            for k in ids:
-                out[k] = out.get(k, 0) + n
-        return out
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, ascending, and how often it has each."""
+        t, n = np.unique(np.fromiter(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text.lower()))), np.int32), return_counts=True)
+        return t, n.astype(np.int32)
 
     def score(self, text: str) -> tuple[float, str]:
         """The calibrated score, and its evidence: the nearest examples as doc_id:label:cosine."""
         counts = self.counts(text)
-        if not counts or not len(self.ids):
+        if not len(counts[0]) or not len(self.ids):
             return self.empty, ""
         terms, weights = self.vector(counts)
         key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
@@ -160,7 +225,7 @@ def sample(labels: DataFrame, rows: int = EXAMPLES) -> DataFrame:
     """doc_id, toxic of the labelled rows to learn from, at most that many."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     return (
-        labels.filter("toxic in (0, 1) and doc_id is not null").filter(crc % 5 != 0)
+        labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(crc % 5 != 0)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
 
@@ -168,7 +233,7 @@ def sample(labels: DataFrame, rows: int = EXAMPLES) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Index:
     common.arrow_batches(docs.sparkSession)
     chosen = common.stored(sample(labels), "examples")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most EXAMPLES narrow rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic")  # at most EXAMPLES narrow rows
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +259,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [sorted(blank.counts(t.as_py() or "").items()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([np.array(c, np.int32).tobytes() for c in counts], pa.binary())], ["doc_id", "toxic", "counts"])
+            counts = [np.concatenate(blank.counts(t.as_py() or "")).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.binary())], ["doc_id", "toxic", "counts"])
 
-    got = rows.mapInArrow(vectors, "doc_id long, toxic int, counts binary").dropDuplicates(["doc_id"]).toLocalIterator()  # at most EXAMPLES rows, by partitions
-    full = ((r.doc_id, dict(np.frombuffer(bytes(r.counts), np.int32).reshape(-1, 2).tolist()), r.toxic) for r in got if r.counts)
+    got = rows.mapInArrow(vectors, "doc_id string, toxic int, counts binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("counts").alias("counts")).toLocalIterator()  # at most EXAMPLES rows, by partitions
+    full = ((r.doc_id, tuple(np.frombuffer(bytes(r.counts), np.int32).reshape(2, -1)), r.toxic) for r in got if r.counts)
     del got, kept, pos, neg, odds, weights, blank
     return Index(idf, full, (n, n1))
 
