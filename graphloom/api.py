@@ -120,6 +120,12 @@ class Analyzer:
         g = self._need().schema_graph
         return None if g is None else S.schema_blocks(g)
 
+    def schema_blocks_text(self) -> str:
+        g = self._need().schema_graph
+        blocks = storage.stored(S.schema_blocks(g), "blocks")
+        own = S.definition_graph(g)
+        return text.blocks_text(text.rows_of(blocks), text.rows_of(S.file_alignment(blocks).orderBy("cluster")), text.rows_of(S.block_alignment(blocks, S.BLOCKS).orderBy("cluster")), own.nodes.count(), own.edges.count())
+
     def map(self) -> DataFrame:
         r = self._need()
         return C.architecture_map(r.files, r.graph)

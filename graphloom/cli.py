@@ -7,6 +7,7 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .api import Analyzer
 from .report import text
@@ -29,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args, _ = parser().parse_known_args(argv)
+    args = parser().parse_args(argv)
     if not args.paths:
         parser().print_help()
         return 0
@@ -37,7 +38,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = Analyzer(spark)
     a.analyze(args.paths, args.root, tuple(args.ext.split(",")), args.registry, args.schema)
     as_json = lambda rows: json.dumps(rows, indent=2, ensure_ascii=False, default=str)
-    show = lambda df: as_json(text.rows_of(df)) if args.json else text.table(text.rows_of(df))
     if args.query:
         df = a.query(args.query)
         if args.json:
@@ -49,18 +49,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         rows = text.rows_of(a.impact(args.impact, args.direction, args.depth, args.granularity))
         out = as_json(rows) if args.json else text.impact_text(args.impact, rows)
     elif args.context:
-        out = show(a.context(args.context))
+        df = a.context(args.context)
+        rows = text.rows_of(df)
+        ids = [r["id"] for r in rows if r["part"] == "target"]
+        out = as_json(rows) if args.json else text.context_text(args.context, rows, text.rows_of(a.result.graph.nodes.filter(F.col("id").isin(ids)).orderBy("ord")))
     elif args.clusters:
-        out = show(a.clusters())
+        rows = text.rows_of(a.clusters().orderBy(F.desc("size"), "community"))
+        out = as_json(rows) if args.json else text.clusters_text(rows)
     elif args.schema_audit:
-        out = show(a.result.schema_audit) if a.result.schema_audit is not None else "no schemas"
+        rows = text.rows_of(a.result.schema_audit) if a.result.schema_audit is not None else None
+        out = "no schemas" if rows is None else as_json(rows) if args.json else text.audit_text(rows)
     elif args.schema_blocks:
-        out = show(a.schema_blocks()) if a.result.schema_graph is not None else "no schemas"
+        out = "no schemas" if a.result.schema_graph is None else as_json(text.rows_of(a.schema_blocks())) if args.json else a.schema_blocks_text()
     elif args.map:
         rows = text.rows_of(a.map())
         out = as_json(rows) if args.json else text.map_text(rows)
     elif args.processes:
-        out = show(a.processes(args.threshold))
+        rows = text.rows_of(a.processes(args.threshold))
+        out = as_json(rows) if args.json else text.processes_text(rows, args.threshold)
     else:
         out = a.render("json" if args.json else "mermaid" if args.mermaid else "swimlane" if args.swimlane else "table" if args.table else "text")
     if args.output:

@@ -74,7 +74,8 @@ class PropertyGraph:
     # op: G7
     def degrees(self) -> DataFrame:
         """id, in_degree, out_degree, degree of all nodes; a self-loop counts on both sides. One shuffle, with partial sums."""
-        ends = self.edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(self.edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        one = lambda end, o, i: F.struct(F.col(end).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+        ends = self.edges.select(F.explode(F.array(one("src", 1, 0), one("dst", 0, 1))).alias("e")).select("e.*")  # edges are made once for both ends
         rows = ends.withColumn("n", F.lit(0)).unionByName(self.nodes.select("id", F.lit(0).alias("o"), F.lit(0).alias("i"), F.lit(1).alias("n")))
         sums = rows.groupBy("id").agg(F.sum("i").cast("long").alias("in_degree"), F.sum("o").cast("long").alias("out_degree"), F.max("n").alias("n"))
         return sums.filter("n = 1").select("id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("degree"))

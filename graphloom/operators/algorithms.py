@@ -18,20 +18,19 @@ from pyspark.sql import functions as F
 from .. import model, storage
 from ..graph import PropertyGraph, owner
 
-#: Edges that a broadcast adjacency may have.
+#: Edges, and nodes, that a broadcast adjacency may have.
 ADJACENCY_EDGES = 5_000_000
-#: Edges up to which a loop's rounds cost more in scheduling than in work, so that one task does them all.
+#: Edges, and nodes, up to which a loop's rounds cost more in scheduling than in work, so that one task does them all, with the same result.
 SMALL_EDGES = 50_000
 
 
 def is_small(graph: PropertyGraph, small: int) -> bool:
-    return small > 0 and graph.edges.limit(small + 1).count() <= small
+    return small > 0 and graph.edges.limit(small + 1).count() <= small and graph.nodes.limit(small + 1).count() <= small
 
 
 def adjacency(graph: PropertyGraph, limit: int = ADJACENCY_EDGES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Ids by ord, and the out-edges of known nodes in compressed rows (starts, targets), by idx. Raises TooLarge beyond limit edges."""
-    if graph.edges.limit(limit + 1).count() > limit:
-        raise storage.TooLarge(f"a broadcast adjacency takes at most {limit} edges")
+    """Ids by ord, and the out-edges of known nodes in compressed rows (starts, targets), by idx. Raises TooLarge beyond limit nodes or edges."""
+    storage.check_size(graph.nodes, graph.edges, limit, "a broadcast adjacency")
     nodes = graph.nodes.select("ord", "id").toPandas().sort_values("ord", kind="stable")
     ids = nodes.id.tolist()
     at = pd.Series(np.arange(len(ids)), index=ids)
@@ -377,39 +376,53 @@ def hot_paths(graph: PropertyGraph, top: int | None = model.HOT_PATHS) -> DataFr
         after = [[] for _ in ids]
         for a, b in pairs:
             after[a].append(b)
-        memo: dict[int, list[int]] = {}
-        for root in range(len(ids)):
-            if root in memo:
-                continue
-            best, stack, active = {root: []}, [(root, iter(after[root]))], {root}
+        # Of each node the length of its path behind it, the next node, and whether the path ends there.
+        length, following, ends = [0] * len(ids), [-1] * len(ids), [False] * len(ids)
+        done, active = [False] * len(ids), [False] * len(ids)
 
-            def offer(v, tail):
-                if len(tail) > len(best[v]):
-                    best[v] = tail
+        def offer(v, more, to, end):
+            if more > length[v]:
+                length[v], following[v], ends[v] = more, to, end
 
+        for root in range(len(ids)):
+            if done[root]:
+                continue
+            stack, active[root] = [(root, iter(after[root]))], True
             while stack:
                 v, rest = stack[-1]
                 step = next(rest, None)
                 if step is None:
                     stack.pop()
-                    active.discard(v)
-                    memo[v] = [v, *best[v]]
+                    active[v], done[v] = False, True
                     if stack:
-                        offer(stack[-1][0], memo[v])
-                elif step in memo:
-                    offer(v, memo[step])
-                elif step in active:
-                    offer(v, [step])
+                        offer(stack[-1][0], length[v] + 1, v, False)
+                elif done[step]:
+                    offer(v, length[step] + 1, step, False)
+                elif active[step]:
+                    offer(v, 1, step, True)
                 else:
-                    best[step] = []
-                    active.add(step)
+                    active[step] = True
                     stack.append((step, iter(after[step])))
-        chosen, keys = [], []
-        for path in sorted((memo[k] for k in range(len(ids)) if len(memo[k]) >= 2), key=lambda p: -len(p)):
-            key = "→".join(ids[v] for v in path)
+
+        def path_from(v):
+            out = [v]
+            while following[v] >= 0:
+                out.append(following[v])
+                if ends[v]:
+                    break
+                v = following[v]
+            return out
+
+        chosen, keys, covered = [], [], set()
+        for v in sorted((v for v in range(len(ids)) if length[v]), key=lambda v: -length[v]):
+            if v in covered:  # its path is the rest of a chosen one
+                continue
+            path = path_from(v)
+            key = "→".join(ids[w] for w in path)
             if not any(key in k for k in keys):
                 keys.append(key)
-                chosen.append([ids[v] for v in path])
+                chosen.append([ids[w] for w in path])
+                covered.update(path[:-1])
                 if top is not None and len(chosen) >= top:
                     break
         return [(k, p, len(p)) for k, p in enumerate(chosen)]
@@ -418,16 +431,24 @@ def hot_paths(graph: PropertyGraph, top: int | None = model.HOT_PATHS) -> DataFr
 
 
 def longest_paths(graph: PropertyGraph) -> DataFrame:
-    """id, path, length (in nodes): a longest path from each node of an acyclic graph, the smallest by its ids; a loop from the sinks up."""
+    """id, path, length (in nodes): a longest path from each node of an acyclic graph, the smallest by its ids.
+
+    Of the successors one level lower the smallest comes next, since each has one path, which begins with it. Paths are put
+    together by doubling: each round appends to a path the path of its last node.
+    """
     levels = storage.stored(longest_depths(graph), "depths")
-    links = storage.stored(graph.without_phantoms().edges.select("src", "dst").distinct(), "links")
-    top = levels.agg(F.max("depth")).first()[0]
-    out = now = levels.filter("depth = 0").select("id", F.array("id").alias("path"))
-    for d in range(1, (top or 0) + 1):
-        at = levels.filter(F.col("depth") == d).select(F.col("id").alias("src"))
-        now = storage.stored(links.join(at, "src").join(now.withColumnsRenamed({"id": "dst", "path": "tail"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("tail").alias("tail")).select("id", F.concat(F.array("id"), "tail").alias("path")), "paths")
-        out = out.unionByName(now)
-    return out.withColumn("length", F.size("path"))
+    top = levels.agg(F.max("depth")).first()[0] or 0
+    near = levels.withColumnsRenamed({"id": "dst", "depth": "d"})
+    steps = graph.without_phantoms().edges.select("src", "dst").join(levels.withColumnRenamed("id", "src"), "src").join(near, "dst").filter("depth = d + 1")
+    following = steps.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("next"))
+    now = levels.select("id").join(following, "id", "left").select("id", F.array("id").alias("path"), "next")
+    reach = 1
+    while reach <= top:
+        now = storage.stored(now, "paths")
+        tails = now.select(F.col("id").alias("next"), F.col("path").alias("tail"), F.col("next").alias("further"))
+        now = now.join(tails, "next", "left").select("id", F.concat("path", F.coalesce("tail", F.array().cast("array<string>"))).alias("path"), F.col("further").alias("next"))
+        reach *= 2
+    return now.select("id", "path", F.size("path").alias("length"))
 
 
 # op: A8

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model, storage
@@ -132,6 +132,7 @@ def entry_points(graph: PropertyGraph) -> DataFrame:
 # op: N10
 def process_traces(graph: PropertyGraph, threshold: float = 0.4, max_depth: int = 10, entries: DataFrame | None = None) -> DataFrame:
     """entry, steps (in visiting order, with repeats along parallel edges), terminals, depth. A kernel."""
+    storage.check_size(graph.nodes, graph.edges, storage.KERNEL_EDGES, "a single-task kernel")
     start = entries.select(F.col("file").alias("id")) if entries is not None else entry_points(graph).filter(F.col("score") >= threshold).select(F.col("file").alias("id"))
     roots = [r.id for r in graph.nodes.join(start.distinct(), "id").orderBy("ord").select("id").collect()]  # entry points of a graph that a kernel takes
 
@@ -251,5 +252,4 @@ def architecture_map(facts: DataFrame, graph: PropertyGraph) -> DataFrame:
     )
     imports = facts.select(F.col("path").alias("file"), F.sort_array(F.array_distinct(F.transform("imports", lambda i: i.source))).alias("imports"))
     calls = graph.edges.filter("label = 'CALL'").filter(owner(F.col("src")) != owner(F.col("dst"))).groupBy(owner(F.col("src")).alias("file")).agg(F.sort_array(F.collect_set("dst")).alias("calls_out"))
-    ranked = fan_in_ranking(graph).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fan_in"), "file")))
-    return ranked.join(symbols, "file", "left").join(imports, "file", "left").join(calls, "file", "left").orderBy("rank").drop("rank")
+    return fan_in_ranking(graph).join(symbols, "file", "left").join(imports, "file", "left").join(calls, "file", "left").orderBy(F.desc("fan_in"), "file")

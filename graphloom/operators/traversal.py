@@ -9,18 +9,24 @@ from .. import model, storage
 from ..graph import PropertyGraph, owner
 
 
+#: Rounds of a search up to which edges are scanned anew in each instead of being stored.
+SCANS = 3
+
+
 # op: A20
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, per_seed: bool = True) -> DataFrame:
     """seed, id, depth: what each seed reaches along edges (src, dst), the seeds themselves at depth 0.
 
-    Without per_seed all seeds are one (seed is empty), so each node is visited once. A loop over frontiers: each round joins the newest level with the edges and drops what was seen. Every level is stored.
+    Without per_seed all seeds are one (seed is empty), so each node is visited once. A loop over frontiers: each round joins the newest level with the edges and drops what was seen. Every level is stored. Up to SCANS rounds scan the edges as they are, since a small frontier is sent to them.
     """
-    links = storage.stored(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "links")
+    links = edges.select("src", "dst").filter("src is not null and dst is not null")
+    if max_depth is None or max_depth > SCANS:  # many rounds read the edges: they are made once, each pair once
+        links = storage.stored(links.distinct(), "links")
     frontier = storage.stored(seeds.select((F.col("id") if per_seed else F.lit("")).alias("seed"), "id").distinct().withColumn("depth", F.lit(0)), "frontier")
     levels, depth = [frontier], 0
     while (max_depth is None or depth < max_depth) and not storage.is_empty(frontier):
         depth += 1
-        reached = frontier.select("seed", F.col("id").alias("src")).join(links, "src").select("seed", F.col("dst").alias("id")).distinct()
+        reached = links.join(storage.if_small(frontier.select("seed", F.col("id").alias("src"))), "src").select("seed", F.col("dst").alias("id")).distinct()
         for old in levels:
             reached = reached.join(old.select("seed", "id"), ["seed", "id"], "left_anti")
         frontier = storage.stored(reached.withColumn("depth", F.lit(depth)), "frontier")

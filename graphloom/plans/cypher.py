@@ -1,7 +1,7 @@
 """A subset of Cypher, lowered to DataFrame joins.
 
-MATCH and OPTIONAL MATCH of linear patterns with labels, property maps, relationship types, directions and bounded
-variable lengths; WHERE with comparisons, AND, OR, NOT, XOR, IN, STARTS WITH, ENDS WITH, CONTAINS, =~, IS NULL and
+MATCH and OPTIONAL MATCH of linear patterns with labels, property maps, relationship types, directions and variable lengths,
+also open ones; UNWIND; WHERE with comparisons, AND, OR, NOT, XOR, IN, STARTS WITH, ENDS WITH, CONTAINS, =~, IS NULL and
 existence of a pattern; WITH; RETURN [DISTINCT] with aliases and count, sum, avg, min, max, collect; ORDER BY, SKIP,
 LIMIT; UNION [ALL]. Write clauses raise Unsupported.
 
@@ -11,17 +11,17 @@ twice within one MATCH. Predicates on one variable of an equality join are left
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..graph import PropertyGraph
 
-#: Hops of an open-ended variable length.
-MAX_HOPS = 10
-WRITES = ("CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "CALL", "LOAD", "FOREACH", "UNWIND")
+WRITES = ("CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "CALL", "LOAD", "FOREACH")
 AGGREGATES = ("count", "sum", "avg", "min", "max", "collect")
 TOKEN = re.compile(r"""\s+|//[^\n]*|(?P<s>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<n>\d+(?:\.\d+(?!\.))?(?:[eE][+-]?\d+)?)|(?P<q>`[^`]*`)|(?P<w>[^\W\d]\w*)|(?P<p><>|<=|>=|=~|\.\.|<-|->|[-+*/%^=<>()\[\]{},.:|;$])""")
 
@@ -47,7 +47,7 @@ class RelPattern:
     name: str | None
     types: list[str]
     direction: str  # out, in, both
-    hops: tuple[int, int] | None
+    hops: tuple[int, int | None] | None
     props: dict = field(default_factory=dict)
 
 
@@ -131,8 +131,8 @@ class Reader:
                 low = int(self.next()) if self.peek()[0] == "n" else None
                 high = low
                 if self.eat(".."):
-                    high = int(self.next()) if self.peek()[0] == "n" else MAX_HOPS
-                hops = (1 if low is None else low, MAX_HOPS if high is None else high)
+                    high = int(self.next()) if self.peek()[0] == "n" else None
+                hops = (1 if low is None else low, high)  # no upper end: as far as edges go
             props = self.props()
             self.need("]")
         right = self.eat("->")
@@ -385,12 +385,16 @@ class Planner:
             low, high = rel.hops
             now = df.withColumn("_to", F.col(f"`{start}`.gid")).withColumn(r, F.array().cast("array<long>"))
             parts = [now] if low == 0 else []
-            for k in range(1, high + 1):
+            for k in itertools.count(1) if high is None else range(1, high + 1):
+                if high is None:  # a path has each edge once, so that an open range comes to an end
+                    now = storage.stored(now, "paths")
+                    if storage.is_empty(now):
+                        break
                 now = now.withColumnRenamed("_to", "_at")
                 now = step(now, F.col("_at"), "_e").filter(~F.array_contains(r, F.col("_e.idx"))).withColumn(r, F.concat(r, F.array("_e.idx"))).drop("_e", "_at")
                 if k >= low:
                     parts.append(now)
-            df = parts[0]
+            df = parts[0] if parts else now.limit(0)
             for p in parts[1:]:
                 df = df.unionByName(p)
             rows.values.add(r)
@@ -411,7 +415,7 @@ class Planner:
         """How selective a node pattern is: an end with properties or labels is a better start."""
         return 4 * len(p.props) + len(p.labels)
 
-    def match(self, rows: Rows, paths: list[list], optional: bool = False) -> Rows:
+    def match(self, rows: Rows, paths: list[list], optional: bool = False, condition=None) -> Rows:
         before = rows
         if optional and rows.df is not None:
             key = self.name()
@@ -435,11 +439,21 @@ class Planner:
                     rows.df = rows.df.filter(F.col(f"`{start}`.label") == label)
             for rel, node in zip(path[1::2], path[2::2], strict=True):
                 start = self.hop(rows, start, rel, node, used)
+        if condition is not None:
+            rows = self.where(rows, condition)
         if optional and before.df is not None:
             new = [c for c in rows.df.columns if c not in base.columns]
             rows.df = base.join(rows.df.select(key, *[F.col(f"`{c}`") for c in new]), key, "left").drop(key)
         return rows
 
+    def unwind(self, rows: Rows, e, name: str) -> Rows:
+        """One row for each element of a list; none for an empty list or null."""
+        if rows.df is None:
+            rows.df = self.nodes.sparkSession.range(1).withColumnRenamed("id", self.name())
+        rows.df = rows.df.withColumn(name, F.explode(self.column(e, rows)))
+        rows.values.add(name)
+        return rows
+
     def where(self, rows: Rows, e) -> Rows:
         """Filters; existence of patterns at the top of a conjunction becomes a semi- or anti-join."""
         if e[0] == "and":
@@ -525,10 +539,13 @@ def run(graph: PropertyGraph, text: str) -> DataFrame:
                 paths = [reader.path()]
                 while reader.eat(","):
                     paths.append(reader.path())
-                if optional and reader.at("WHERE"):
-                    # The condition belongs to the optional part: it is applied before the rows are kept.
-                    raise Unsupported("WHERE after OPTIONAL MATCH")
-                rows = planner.match(rows, paths, optional)
+                # After OPTIONAL MATCH a condition belongs to the optional part: it says what is found, not which rows stay.
+                condition = reader.expression() if optional and reader.eat("WHERE") else None
+                rows = planner.match(rows, paths, optional, condition)
+            elif reader.eat("UNWIND"):
+                e = reader.expression()
+                reader.need("AS")
+                rows = planner.unwind(rows, e, reader.name())
             elif reader.eat("WHERE"):
                 rows = planner.where(rows, reader.expression())
             elif reader.at("WITH") or reader.at("RETURN"):

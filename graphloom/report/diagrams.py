@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..graph import PropertyGraph
 from ..operators import algorithms as A
 
@@ -15,7 +16,7 @@ DOTTED = ("EXTEND", "DYNAMIC_IMPORT")
 
 
 def _numbered(graph: PropertyGraph) -> DataFrame:
-    return graph.nodes.select("id", "name", (F.row_number().over(Window.orderBy("ord")) - 1).alias("k"))
+    return storage.with_ordinals(graph.nodes.select("ord", "id", "name"), "k", "ord")
 
 
 def _unique_edges(graph: PropertyGraph) -> DataFrame:
@@ -45,34 +46,35 @@ def dot(graph: PropertyGraph) -> str:
     return "\n".join(["digraph G {", "  rankdir=LR;", "  node [shape=box];", *nodes, *edges, "}"])
 
 
+# The marks of an edge's source and target, of a lane that it crosses, of an empty lane and between lanes.
+SOURCE, TARGET, CROSSED, LANE, BETWEEN = "╤", "╧", "╪", "═", "│"
+#: Width of a name, and of its lane, where there are no edges.
+PLAIN_WIDTH = 20
+
+
 # op: K7
 def swimlane(graph: PropertyGraph) -> str:
-    """Nodes as rows, predecessors first, and one column for each edge, the short ones first."""
-    rows = [r.id for r in A.depth_first_order(graph).orderBy("position").collect()]
-    at = {x: k for k, x in enumerate(rows)}
-    edges = [(at[r.src], at[r.dst]) for r in graph.without_phantoms().edges.orderBy("idx").select("src", "dst").distinct().collect() if r.src != r.dst]
-    edges.sort(key=lambda e: (abs(e[0] - e[1]), e[0], e[1]))
-    width = max(map(len, rows), default=0) + 1
-    if not edges:
-        return "\n".join(f"{x.ljust(20)}│" for x in rows)
+    """Nodes as lanes, predecessors first, and one column for each edge between known nodes, the short ones first, parallel ones too. Between lanes an edge is drawn from its upper to its lower end."""
+    lanes = [r.id for r in A.depth_first_order(graph).orderBy("position").collect()]
+    at = {x: k for k, x in enumerate(lanes)}
+    found = [(at[r.src], at[r.dst]) for r in graph.without_phantoms().edges.orderBy("idx").select("src", "dst").collect()]
+    columns = sorted(found, key=lambda e: (abs(e[0] - e[1]), e[0]))
+    if not columns:
+        return "\n".join(f"{x.ljust(PLAIN_WIDTH)} {LANE * PLAIN_WIDTH}" for x in lanes)
+    width = max(map(len, lanes)) + 1
     out = []
-    for k, name in enumerate(rows):
-        cells, spacer = [], []
-        for a, b in edges:
-            low, high = min(a, b), max(a, b)
-            ends = k in (a, b)
-            cells.append(("╤" if k == low else "╧") if ends else "╪" if low < k < high else "═" if any(k in e for e in edges) else " ")
-            spacer.append("│" if low <= k < high else " ")
-        out.append(name.ljust(width) + "═".join(cells))
-        if k < len(rows) - 1:
-            out.append(" " * width + " ".join(spacer))
-    return "\n".join(x.rstrip() for x in out)
+    for k, name in enumerate(lanes):
+        marks = (SOURCE if k == a else TARGET if k == b else CROSSED if min(a, b) < k < max(a, b) else LANE for a, b in columns)
+        out.append(name.ljust(width) + "".join(marks))
+        if k + 1 < len(lanes):
+            out.append(" " * width + "".join(BETWEEN if min(a, b) <= k < max(a, b) else " " for a, b in columns))
+    return "\n".join(out) + "\n"
 
 
 # op: K8
 def swimlane_of(spark, edges: list[tuple[str, str]], files: list[str]) -> str:
-    """From pairs and names; pairs of unknown names are left out."""
+    """From pairs and names; each pair counts once, and pairs of unknown names are left out."""
     nodes = spark.createDataFrame([(k, x, "FILE", x) for k, x in enumerate(files)], "ord long, id string, label string, name string")
     known = set(files)
-    rows = [(k, a, b, "IMPORT") for k, (a, b) in enumerate(edges) if a in known and b in known]
+    rows = [(k, a, b, "IMPORT") for k, (a, b) in enumerate(dict.fromkeys(edges)) if a in known and b in known]
     return swimlane(PropertyGraph.of(nodes, spark.createDataFrame(rows, "idx long, src string, dst string, label string")))

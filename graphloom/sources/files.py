@@ -1,30 +1,74 @@
-"""Files of a project: scans, roots and texts."""
+"""Files of a project: scans, roots and texts. Plain paths are local; those with a scheme (hdfs://, s3a://, ...) are listed by Hadoop's file systems. Texts are read by Spark in either case."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
 EXTENSIONS = (".mjs", ".js")
 #: Directories that a scan never enters, besides those whose names begin with a dot.
 SKIPPED = ("node_modules",)
+REMOTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
+
+
+class Tree:
+    """What a scan asks of a local file system."""
+
+    is_dir, is_file, absolute = staticmethod(os.path.isdir), staticmethod(os.path.isfile), staticmethod(os.path.abspath)
+
+    @staticmethod
+    def children(path: str) -> list[tuple[str, str, bool]]:
+        """(name, path, whether it is a directory), by name."""
+        return sorted((e.name, e.path, e.is_dir()) for e in os.scandir(path))
+
+
+class RemoteTree:
+    """The same of a file system that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def is_dir(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+    def is_file(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+    @staticmethod
+    def absolute(path: str) -> str:
+        return path.rstrip("/")
+
+    def children(self, path: str) -> list[tuple[str, str, bool]]:
+        fs, p = self._at(path)
+        return sorted((x.getPath().getName(), f"{path.rstrip('/')}/{x.getPath().getName()}", x.isDirectory()) for x in fs.listStatus(p))
+
+
+def tree_of(path: str) -> Tree | RemoteTree:
+    return RemoteTree(SparkSession.getActiveSession()) if REMOTE.match(path) else Tree()
 
 
 # op: S1
 def scan_dir(directory: str, extensions: tuple[str, ...] = EXTENSIONS) -> list[str]:
     """Paths below a directory with one of the extensions, sorted at each level."""
-    found = []
-    for entry in sorted(os.scandir(directory), key=lambda e: e.name):
-        if entry.name.startswith(".") or entry.name in SKIPPED:
+    tree, found = tree_of(directory), []
+    for name, path, is_dir in tree.children(directory):
+        if name.startswith(".") or name in SKIPPED:
             continue
-        if entry.is_dir():
-            found += scan_dir(entry.path, extensions)
-        elif entry.name.endswith(tuple(extensions)):
-            found.append(entry.path)
+        if is_dir:
+            found += scan_dir(path, extensions)
+        elif name.endswith(tuple(extensions)):
+            found.append(path)
     return found
 
 
@@ -32,39 +76,50 @@ def scan_dir(directory: str, extensions: tuple[str, ...] = EXTENSIONS) -> list[s
 def collect_files(paths: list[str], extensions: tuple[str, ...] = EXTENSIONS) -> list[str]:
     """Files named, whatever their extension, and those below directories named; each once; what is missing is skipped."""
     out: dict[str, None] = {}
-    for p in map(os.path.abspath, paths):
-        if os.path.isdir(p):
+    for path in paths:
+        tree = tree_of(path)
+        p = tree.absolute(path)
+        if tree.is_dir(p):
             out.update(dict.fromkeys(scan_dir(p, extensions)))
-        elif os.path.isfile(p):
+        elif tree.is_file(p):
             out[p] = None
     return list(out)
 
 
 # op: S3
 def infer_root(paths: list[str], root: str | None = None) -> str:
+    """The root given; else the first directory named, or that of the first file."""
     if root:
-        return os.path.abspath(root)
-    for p in map(os.path.abspath, paths):
-        if os.path.isdir(p):
+        return tree_of(root).absolute(root)
+    for path in paths:
+        tree = tree_of(path)
+        p = tree.absolute(path)
+        if tree.is_dir(p):
             return p
-        if os.path.isfile(p):
+        if tree.is_file(p):
             return os.path.dirname(p)
     return os.getcwd()
 
 
+def relative(path: str, root: str) -> str:
+    return path.removeprefix(root.rstrip("/") + "/") if REMOTE.match(path) else os.path.relpath(path, root)
+
+
 def texts(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """ord, path (relative to root), text: read in the tasks, from a file system that all of them see."""
-    rows = [(k, os.path.relpath(p, root), p) for k, p in enumerate(paths)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = []
-            for p in batch.at_:
-                with open(p, encoding="utf-8", errors="replace") as f:
-                    text.append(f.read())
-            yield pd.DataFrame({"ord": batch.ord, "path": batch.path, "text": text})
-
-    return spark.createDataFrame(rows, "ord long, path string, at_ string").mapInPandas(run, "ord long, path string, text string")
+    """ord, path (relative to root), text: read whole by Spark's text source; bytes that are no UTF-8 are replaced."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rows = [(k, relative(p, root), re.sub("^file:/+", "/", p)) for k, p in enumerate(paths)]
+    asked = spark.createDataFrame(rows, "ord long, path string, _at string")
+    if not paths:
+        return asked.select("ord", "path", F.col("_at").alias("text"))
+    where = [("" if REMOTE.match(p) else "file://") + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # names are no patterns
+    read = spark.read.text(where, wholetext=True).select(plain(decoded(F.col("_metadata.file_path"))).alias("_at"), F.make_valid_utf8("value").alias("text"))
+    return read.join(storage.if_small(asked), "_at", "right").select("ord", "path", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def decoded(uri: Column) -> Column:
+    """A URI's path without percent signs; a plus is a plus."""
+    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
 
 
 # op: S13

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +78,13 @@ def schema_graph(docs: DataFrame) -> PropertyGraph:
 # op: S5
 def find_registry_schemas(root: str) -> list[str]:
     """JSON files of the folders config, schema and schemas, and *.schema.json of the root itself; not recursive."""
-    found = []
+    tree, found = files.tree_of(root), []
+    json_of = lambda folder, end: [p for name, p, is_dir in tree.children(folder) if name.endswith(end) and not is_dir]
     for folder in ("config", "schema", "schemas"):
-        at = os.path.join(root, folder)
-        if os.path.isdir(at):
-            found += [os.path.join(at, f) for f in sorted(os.listdir(at)) if f.endswith(".json")]
-    return found + [os.path.join(root, f) for f in sorted(os.listdir(root)) if f.endswith(".schema.json")]
+        at = f"{root.rstrip('/')}/{folder}"
+        if tree.is_dir(at):
+            found += json_of(at, ".json")
+    return found + json_of(root, ".schema.json")
 
 
 # op: S6

@@ -93,8 +93,10 @@ def users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Pages linked to the paths of their href attributes; those are phantoms unless a page has that url."""
+    """Pages linked to the targets of their href attributes: the first page of that url, else a phantom of that name."""
     pages = table(spark, sf_dir, "pages")
     nodes = pages.select(F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("id"), F.lit("PAGE").alias("label"), F.col("url").alias("name"))
-    links = pages.select(F.col("page_id").cast("string").alias("src"), F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("k", "dst"))
-    return PropertyGraph.of(nodes, links.withColumn("label", F.lit("LINK")).withColumn("idx", F.col("src").cast("long") * 100_000 + F.col("k")))
+    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("k", "href"))
+    of = pages.filter("url is not null").groupBy(F.col("url").alias("href")).agg(F.min("page_id").cast("string").alias("page"))
+    edges = links.join(of, "href", "left").select(F.col("page_id").cast("string").alias("src"), F.coalesce("page", "href").alias("dst"), F.lit("LINK").alias("label"), (F.shiftleft(F.col("page_id").cast("long"), 32) + F.col("k")).alias("idx"))
+    return PropertyGraph.of(nodes, edges)

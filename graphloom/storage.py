@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow relation that may be broadcast; beyond that, joins shuffle.
 BROADCAST_ROWS = 200_000
-#: Edges that a single-task kernel accepts.
+#: Edges, and nodes, that a single-task kernel accepts.
 KERNEL_EDGES = 2_000_000
 
 
@@ -61,11 +61,16 @@ def with_ordinals(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return sorted_.withColumn("_rank", rank).join(F.broadcast(shift), "_part").withColumn(name, F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
 
 
+def check_size(nodes: DataFrame, edges: DataFrame, limit: int, what: str) -> None:
+    """Raises TooLarge if there are more than limit nodes or more than limit edges. No more than that is counted."""
+    for name, df in (("edges", edges), ("nodes", nodes)):
+        if df.select(F.lit(1)).limit(limit + 1).count() > limit:
+            raise TooLarge(f"{what} takes at most {limit} {name}")
+
+
 def kernel(nodes: DataFrame, edges: DataFrame, work: Callable[[list[str], list[tuple[int, int]]], Iterator[tuple]], schema: str, limit: int = KERNEL_EDGES) -> DataFrame:
-    """Runs a visit-order dependent algorithm in one task: work(ids by ord, edges as pairs of node numbers by idx) gives the rows of schema. Edges that touch unknown nodes are left out. Raises TooLarge beyond limit edges."""
-    n = edges.limit(limit + 1).count()
-    if n > limit:
-        raise TooLarge(f"a single-task kernel takes at most {limit} edges")
+    """Runs a visit-order dependent algorithm in one task: work(ids by ord, edges as pairs of node numbers by idx) gives the rows of schema. Edges that touch unknown nodes are left out. Raises TooLarge beyond limit nodes or edges."""
+    check_size(nodes, edges, limit, "a single-task kernel")
     rows = nodes.select(F.lit(0).alias("kind"), F.col("ord").alias("k"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(
         edges.select(F.lit(1).alias("kind"), F.col("idx").alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"))
     )
