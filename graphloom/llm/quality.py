@@ -71,9 +71,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, deca
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30)))  # in x's type: mixed types would convert x in each product
         g = (p - y) * weight
-        gw, gb = x.T @ g + decay * w, g.sum()
+        gw, gb = g.astype(x.dtype) @ x + decay * w, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v) + 1e-8)
