@@ -281,9 +281,9 @@ def strongly_connected(graph: PropertyGraph, small: int = SMALL_EDGES) -> DataFr
 
 
 # op: A14
-def cyclic_nodes(graph: PropertyGraph) -> DataFrame:
+def cyclic_nodes(graph: PropertyGraph, small: int = SMALL_EDGES) -> DataFrame:
     """Ids that lie on a cycle: those of components of several nodes, and of self-loops."""
-    many = strongly_connected(graph).filter("size > 1").select("id")
+    many = strongly_connected(graph, small).filter("size > 1").select("id")
     return many.union(graph.edges.filter("src = dst").select("src")).join(graph.nodes.select("id"), "id", "left_semi").distinct()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import storage
 from ..frontend import build
 from ..frontend.enrich import params_of
 from ..frontend.extract import extract
@@ -48,12 +47,23 @@ class Project:
         self.registry = spark.createDataFrame(REGISTRY, "file string, method string, has_xmethod boolean, param_count int")
 
 
+_projects: dict[str, Project] = {}
+
+
+def project(spark: SparkSession) -> Project:
+    """The project, parsed once in an application; its tables are stored."""
+    key = spark.sparkContext.applicationId
+    if key not in _projects:
+        _projects[key] = Project(spark)
+    return _projects[key]
+
+
 def code(sql: str | None = None):
     """Registers a query over the literal project."""
 
     def add(f):
         def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Project(spark))
+            return f(project(spark))
 
         q.__name__, q.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = q
@@ -65,7 +75,7 @@ def code(sql: str | None = None):
 
 
 def values(names: str, *rows: tuple) -> str:
-    lit = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v).lower()
+    lit = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v).lower()
     return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
 
 
@@ -139,35 +149,6 @@ def n_gaps(p: Project) -> DataFrame:
     return C.schema_gaps(p.facts, p.registry)
 
 
-@code(values("file, score, fan_in, fan_out", ("a.mjs", 0.13, 1, 7), ("b.mjs", 0.13, 1, 4), ("lib/index.mjs", 0.53, 1, 5), ("lib/store.mjs", 0.4, 3, 5)))
-def n_entry_points(p: Project) -> DataFrame:
-    return C.entry_points(p.graph).filter(~F.contains("file", F.lit("::"))).select("file", "score", "fan_in", "fan_out")
-
-
-@code(values("entry, depth, n_steps", ("lib/index.mjs", 2, 10), ("lib/store.mjs", 1, 5)))
-def n_process(p: Project) -> DataFrame:
-    return C.process_traces(p.graph, 0.4).filter(~F.contains("entry", F.lit("::"))).select("entry", "depth", F.size("steps").alias("n_steps"))
-
-
-@code(values("total_files, total_edges, confirmed_violations, cycles, longest_path, max_fan_in, max_fan_out, duplicate_instantiations, orphan_nodes", (4, 27, 1, 1, 4, 3, 7, 1, 0)))
-def n_stats(p: Project) -> DataFrame:
-    cycles, found, hot = A.cycles(p.graph), C.violations(p.graph), A.hot_paths(p.graph)
-    s = C.stats(p.facts, p.graph, cycles, found, hot, C.complexity(p.facts, p.graph), A.clusters(p.graph), A.centrality(p.graph), C.duplicate_factories(p.graph.bindings))
-    return s.select("total_files", "total_edges", "confirmed_violations", "cycles", "longest_path", "max_fan_in", "max_fan_out", "duplicate_instantiations", "orphan_nodes")
-
-
-@code(values("type, severity, file", ("violation", "error", "lib/store.mjs"), ("cycle", "error", "a.mjs"), ("coupling", "warning", "a.mjs"), ("duplicate_instantiation", "warning", "lib/store.mjs")))
-def n_advice(p: Project) -> DataFrame:
-    cycles, found, hot = A.cycles(p.graph), C.violations(p.graph), A.hot_paths(p.graph)
-    out = C.advice(p.facts, p.graph.edges, cycles, found, hot, C.complexity(p.facts, p.graph), A.clusters(p.graph), A.centrality(p.graph), None, C.duplicate_factories(p.graph.bindings), {"coupling_degree": 7, "modularity": -1})
-    return out.filter("type in ('violation', 'cycle', 'duplicate_instantiation') or (type = 'coupling' and file = 'a.mjs')").select("type", "severity", "file").limit(10)
-
-
-@code(values("file, fan_in, fan_out", ("a.mjs", 1, 4), ("b.mjs", 1, 2), ("lib/index.mjs", 1, 1), ("lib/store.mjs", 3, 0)))
-def n_map(p: Project) -> DataFrame:
-    return C.architecture_map(p.facts, p.graph).select("file", "fan_in", "fan_out")
-
-
 @code(values("path", ("a.mjs>b.mjs",)))
 def n_cycles(p: Project) -> DataFrame:
     return A.cycles(p.graph).select(F.array_join("path", ">").alias("path"))
@@ -183,11 +164,6 @@ def q_symbol_at(p: Project) -> DataFrame:
     return T.symbol_at(p.graph, "lib/store.mjs", "hidden").select("id")
 
 
-@code("select cast(0 as bigint) as n")
-def n_orphans(p: Project) -> DataFrame:
-    return C.orphans(p.facts, p.graph.edges).agg(F.count(F.lit(1)).alias("n"))
-
-
 @code()
 def a_centrality(p: Project) -> DataFrame:
     return A.centrality(p.graph)
@@ -201,18 +177,6 @@ def n_schema_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.schema_audit(_schema_graph(spark))
 
 
-def n_schema_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.schema_blocks(_schema_graph(spark)).filter("kind <> 'bridge'").select("kind", F.array_join("members", ",").alias("members"))
-
-
-def n_file_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.file_alignment(storage.stored(S.schema_blocks(_schema_graph(spark)), "blocks"))
-
-
-def n_block_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.block_alignment(storage.stored(S.schema_blocks(_schema_graph(spark)), "blocks"))
-
-
 # --- page scripts
 def e_script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of the pages' inline scripts, by parsing each script."""
@@ -297,12 +261,11 @@ def j_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_props(spark, sf_dir), "props", schema).select("event_id", "one_of", F.array_join(F.col("any_of").cast("array<string>"), ",").alias("any_of"))
 
 
-for _f in (n_schema_audit, n_schema_blocks, n_file_alignment, n_block_alignment, e_script_calls, e_params_regex, s_paths, f_normalised, j_validate_string, j_validate_array, j_defaults, j_project, j_variants):
+for _f in (n_schema_audit, e_script_calls, e_params_regex, s_paths, f_normalised, j_validate_string, j_validate_array, j_defaults, j_project, j_variants):
     QUERIES[_f.__name__] = _f
 
 ORACLE_SQL |= {
     "n_schema_audit": values("kind, item, detail", ("total", "definitions", "5"), ("total", "refs", "5"), ("total", "properties", "3"), ("dead_definition", "schema::hub.json#Root", None), ("dead_definition", "schema::schema/a.json#Dead", None), ("dead_definition", "schema::schema/b.json#Dead", None), ("broken_ref", "schema::schema/b.json#B", "schema::schema/b.json#Gone"), ("ref_cycle", "schema::schema/a.json#A -> schema::schema/b.json#B", "true"), ("duplicate_name", "Dead", "2"), ("orphan_file", "hub.json", None)),
-    "n_schema_blocks": values("kind, members", ("cluster", "hub.json#Root,schema/a.json#A,schema/b.json#B"), ("cluster", "schema/a.json#Dead"), ("cluster", "schema/b.json#Dead"), ("cycle", "schema/a.json#A,schema/b.json#B")),
     "e_script_calls": "select page_id, 'track' as callee from (select page_id, unnest(regexp_extract_all(html, '<script>([^\\n]*?)</script>', 1)) as js from pages) where contains(js, 'track(')",
     "e_params_regex": values("body, params", ("function f(a, b = 1) {}", "a,b"), ("async (x, {y}) => {}", "x,..."), ("const g = z => z", "z"), ("function h() {}", "")),
     "s_paths": values("path, source, target", ("a.mjs", "./lib/store.mjs", "lib/store.mjs"), ("a.mjs", "./lib", "lib/index.mjs"), ("lib/index.mjs", "../a", "a.mjs"), ("lib/index.mjs", "./store", "lib/store.mjs"), ("a.mjs", "react", None), ("a.mjs", "./x", None)),

@@ -36,8 +36,10 @@ pattern("c_varlen", "MATCH (o:ORDER {gid: 'O9'})-[:PLACED_BY|IN_NATION|IN_REGION
         f"with recursive {H}, r(id, k) as (select 'O9', 0 union all select e.dst, k + 1 from r join h_edges e on e.src = r.id where k < 3 and e.label in ('PLACED_BY', 'IN_NATION', 'IN_REGION')) select r.id, n.label from r {_N} n on n.id = r.id where k > 0")
 pattern("c_order_limit", "MATCH (c:CUSTOMER)-[:IN_NATION]->(n:NATION) RETURN n.name AS nation, count(*) AS n ORDER BY n DESC, nation SKIP 2 LIMIT 5",
         f"with {H} select n.name as nation, count(*) as n from h_edges e {_N} n on n.id = e.dst where e.label = 'IN_NATION' and e.src_label = 'CUSTOMER' group by 1 order by 2 desc, 1 limit 5 offset 2")
-pattern("c_exists", "MATCH (p:PART) WHERE NOT (:ORDER)-[:HAS_PART]->(p) RETURN p.gid AS part",
-        f"with {H} select id as part from h_nodes where label = 'PART' and id not in (select dst from h_edges where label = 'HAS_PART')")
+pattern("c_exists", "MATCH (x) WHERE NOT (:ORDER)-[:PLACED_BY]->(x) RETURN x.label AS label, count(*) AS n",
+        f"with {H} select label, count(*) as n from h_nodes where id not in (select dst from h_edges where label = 'PLACED_BY') group by 1")
+pattern("c_exists_some", "MATCH (s:SUPPLIER) WHERE (:ORDER)-[:FROM_SUPPLIER]->(s) AND s.gid <> 'S1' RETURN s.gid AS supplier",
+        f"with {H} select id as supplier from h_nodes where label = 'SUPPLIER' and id <> 'S1' and id in (select dst from h_edges where label = 'FROM_SUPPLIER')")
 pattern("c_optional", "MATCH (n:NATION) OPTIONAL MATCH (s:SUPPLIER)-[:IN_NATION]->(n) RETURN n.name AS nation, count(s) AS suppliers",
         f"with {H} select n.name as nation, count(e.src) as suppliers from h_nodes n left join h_edges e on e.dst = n.id and e.src_label = 'SUPPLIER' where n.label = 'NATION' group by 1")
 pattern("c_union", "MATCH (r:REGION) RETURN r.name AS name UNION MATCH (n:NATION) WHERE n.name =~ '.*[AN]1.*' RETURN n.name AS name",
@@ -58,17 +60,10 @@ def k_mermaid_edges(spark: SparkSession, sf_dir: str, top: int | None = 3) -> Da
     return mermaid_edges(tables.trade(spark, sf_dir, top))
 
 
-def k_summary(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
-    g = tables.trade(spark, sf_dir, top)
-    n = g.edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"))
-    return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(n).select(F.concat_ws(" | ", F.concat(F.lit("Nodes: "), "nodes"), F.concat(F.lit("Edges: "), "edges"), F.concat(F.lit("Sources: "), "sources")).alias("summary"))
-
-
-QUERIES |= {"k_mermaid_edges": k_mermaid_edges, "k_summary": k_summary}
+QUERIES["k_mermaid_edges"] = k_mermaid_edges
 ORACLE_SQL |= {
     "k_mermaid_edges": f"with {T3}, n as (select 'N' || n_nationkey as id, row_number() over (order by n_nationkey) - 1 as k from nation) select '  n' || a.k || ' --> n' || b.k as line from (select distinct src, dst from t3) t join n a on a.id = t.src join n b on b.id = t.dst",
-    "k_summary": f"with {T3} select 'Nodes: ' || (select count(*) from ids) || ' | Edges: ' || count(*) || ' | Sources: ' || count(distinct src) as summary from t3",
 }
-for _name in ("k_mermaid_edges", "k_summary"):
+for _name in ("k_mermaid_edges",):
     QUERIES[f"{_name}_trade"] = lambda spark, sf_dir, f=QUERIES[_name]: f(spark, sf_dir, None)
     ORACLE_SQL[f"{_name}_trade"] = ORACLE_SQL[_name].replace(T3, T_ALL)

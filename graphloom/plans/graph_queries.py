@@ -140,16 +140,21 @@ def q_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.symbols_named(g, name).select("id", "label")
 
 
-@query(f"with {H} select src, dst, label from h_edges where src_label = 'CUSTOMER' and dst_label = 'NATION'")
+def _with_files(g: PropertyGraph) -> PropertyGraph:
+    """g in which customers and nations play the files."""
+    end = lambda c: F.when(F.col(c).isin("CUSTOMER", "NATION"), "FILE").otherwise(F.col(c)).alias(c)
+    return PropertyGraph.of(g.nodes, g.edges.withColumn("src_label", end("src_label")).withColumn("dst_label", end("dst_label")))
+
+
+@query(f"with {H} select src, dst, label from h_edges where src_label in ('CUSTOMER', 'NATION') and dst_label in ('CUSTOMER', 'NATION')")
 def q_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the nodes that play the files here: customers and nations are relabelled by a parameter."""
-    g = tables.hierarchy(spark, sf_dir)
-    return g.edges.filter((F.col("src_label") == "CUSTOMER") & (F.col("dst_label") == "NATION")).select("src", "dst", "label")
+    return T.file_edges(_with_files(tables.hierarchy(spark, sf_dir))).select("src", "dst", "label")
 
 
-@query(f"with {H} select label, count(*) as n from h_edges where not (src_label = 'ORDER' and dst_label = 'ORDER') group by label")
+@query(f"with {H} select label, src_label, count(*) as n from h_edges where not (src_label in ('CUSTOMER', 'NATION') and dst_label in ('CUSTOMER', 'NATION')) group by all")
 def q_symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.symbol_edges(tables.hierarchy(spark, sf_dir), "ORDER").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    found = T.symbol_edges(_with_files(tables.hierarchy(spark, sf_dir)))
+    return found.groupBy("label", F.when(F.col("src_label") == "FILE", "NATION").otherwise(F.col("src_label")).alias("src_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {H} select 'in' as direction, src, dst, label from h_edges where dst = 'N2' and dst_label = 'NATION' union all select 'out', src, dst, label from h_edges where src = 'N2' and src_label = 'NATION'")
@@ -358,20 +363,25 @@ def g_event_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.event_flow(spark, sf_dir).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {E_EDGES} select id, id as component_of, cast(1 as int) as one from (select distinct src as id from e_edges)")
+@query(f"with recursive {E_EDGES}, p as (select distinct src, dst from e_edges), r(a, b) as (select src, dst from p union select r.a, p.dst from r join p on r.b = p.src) select a as id from r where a = b")
 def a_event_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types that lie on a cycle of the event flow."""
     g = tables.event_flow(spark, sf_dir)
-    pairs = PropertyGraph.of(g.nodes, g.edges.select("src", "dst").distinct())
-    return A.cyclic_nodes(pairs).select("id", F.col("id").alias("component_of"), F.lit(1).alias("one"))
+    return A.cyclic_nodes(PropertyGraph.of(g.nodes, g.edges.select("src", "dst").distinct()))
 
 
-@query("""with recursive s as (select event_type, event_id, ts, user_id from events) select event_type, count(*) as n from s group by all""")
+@query(f"with {E_EDGES} select t.event_type as id, count(*) as out_degree, (select count(*) from e_edges where dst = t.event_type) as in_degree from (select distinct event_type from events) t join e_edges on src = t.event_type group by 1")
 def g_event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Nodes of the event flow and their degrees, parallel edges and all."""
+    return tables.event_flow(spark, sf_dir).degrees().select("id", "out_degree", "in_degree")
 
 
-#: The operators over whole graphs: queries named a_..._trade have the SQL of their namesakes on t3 with all links; those named a_..._users have none, since all pairs and twenty rounds of joins are too slow there.
+#: The users graph under the same names.
+T_USERS = """t_edges as (
+  select distinct cast(user_id as varchar) as src, cast(nxt as varchar) as dst from (select user_id, lead(user_id) over (order by ts, event_id) as nxt from events) where user_id is not null and nxt is not null),
+  t3 as (select src, dst, 1 as n, row_number() over (order by src, dst) - 1 as idx from t_edges),
+  ids as (select distinct cast(user_id as varchar) as id from events where user_id is not null)"""
+#: The operators over whole graphs: queries named a_..._trade and a_..._users have the SQL of their namesakes on t3. On the users graph the loops run distributed, whatever its size.
 WHOLE = {
     "bfs_dist": lambda g: T.bfs(g.edges, g.nodes.select("id")).select("seed", "id", "depth"),
     "closeness": lambda g: A.rounded(A.closeness(g), "closeness"),
@@ -385,11 +395,18 @@ WHOLE = {
     "cyclic_nodes": A.cyclic_nodes,
     "shortest_path": lambda g: _farthest(g),
 }
+LOOPS = {
+    "pagerank_20it": lambda g: A.rounded(A.pagerank(g, max_iter=20, tol=None, small=0), "pagerank"),
+    "hits_20it": lambda g: A.rounded(A.hits(g, max_iter=20, tol=None, small=0), "hub", "authority"),
+    "scc": lambda g: A.strongly_connected(g, small=0),
+    "cyclic_nodes": lambda g: A.cyclic_nodes(g, small=0),
+}
 for _name, _f in WHOLE.items():
     QUERIES[f"a_{_name}_trade"] = lambda spark, sf_dir, f=_f: f(_trade(spark, sf_dir))
-    QUERIES[f"a_{_name}_users"] = lambda spark, sf_dir, f=_f: f(_users(spark, sf_dir))
+    QUERIES[f"a_{_name}_users"] = lambda spark, sf_dir, f=LOOPS.get(_name, _f): f(_users(spark, sf_dir))
     if _name != "shortest_path":  # its SQL lists all simple paths
         ORACLE_SQL[f"a_{_name}_trade"] = ORACLE_SQL[f"a_{_name}"].replace(T3, T_ALL)
+        ORACLE_SQL[f"a_{_name}_users"] = ORACLE_SQL[f"a_{_name}"].replace(T3, T_USERS)
 for _name, _f in {"cycles_dfs": A.cycles, "hot_paths_dfs": A.hot_paths, "louvain": A.louvain, "clusters": lambda g: _communities(g)}.items():
     QUERIES[f"a_{_name}_users"] = lambda spark, sf_dir, f=_f: f(_users(spark, sf_dir))
 

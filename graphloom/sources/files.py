@@ -112,11 +112,31 @@ def texts(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     asked = spark.createDataFrame(rows, "ord long, path string, _at string")
     if not paths:
         return asked.select("ord", "path", F.col("_at").alias("text"))
-    where = [("" if REMOTE.match(p) else "file://") + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # names are no patterns
-    read = spark.read.text(where, wholetext=True).select(plain(decoded(F.col("_metadata.file_path"))).alias("_at"), F.make_valid_utf8("value").alias("text"))
+    names = {p: p if REMOTE.match(p) else f"file://{p}" for p in paths}
+    seen = [n for p, n in names.items() if not hidden(p)]
+    found = [(re.sub("^file:/+", "/", p), _read(spark, n)) for p, n in names.items() if hidden(p)]
+    read = spark.createDataFrame(found, "_at string, text string")
+    if seen:
+        where = [re.sub(r"([\\\[\]{}*?])", r"\\\1", n) for n in seen]  # names are no patterns
+        read = read.unionByName(spark.read.text(where, wholetext=True).select(plain(decoded(F.col("_metadata.file_path"))).alias("_at"), F.make_valid_utf8("value").alias("text")))
     return read.join(storage.if_small(asked), "_at", "right").select("ord", "path", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def hidden(path: str) -> bool:
+    """Whether Spark's sources leave a file out by its name."""
+    return path.rsplit("/", 1)[-1].startswith(("_", "."))
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    """The text of one file, by Hadoop on the driver: for the few whose names Spark's sources leave out."""
+    fs, at = RemoteTree(spark)._at(path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def decoded(uri: Column) -> Column:
     """A URI's path without percent signs; a plus is a plus."""
     return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
