@@ -76,7 +76,8 @@ def code(sql: str | None = None):
 
 def values(names: str, *rows: tuple) -> str:
     lit = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v).lower()
-    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+    quoted = ", ".join(f'"{n.strip()}"' for n in names.split(","))
+    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({quoted})"
 
 
 @code(values("file, name, alias, source", ("a.mjs", "createStore", "createStore", "./lib/store.mjs"), ("a.mjs", "helper", "h", "./lib/store.mjs"), ("a.mjs", "default", "def", "./b.mjs"), ("a.mjs", "*", "ns", "./lib/index.mjs"), ("a.mjs", "z", "z", "./missing.mjs"), ("b.mjs", "hidden", "hidden", "./lib/store.mjs"), ("b.mjs", "createStore", "createStore", "./lib/store.mjs"), ("b.mjs", "main", "main", "./a.mjs")))
