@@ -258,3 +258,23 @@ def test_pipeline_stages(spark):
     assert "[EMAIL]" in got[106].text and "[PHONE]" in got[106].text and "a.b@c" not in got[106].text
     assert all(x.n_tokens * 4 == len(x.ids) and x.decoded_sha256 == hashlib.sha256(x.text.encode()).hexdigest() for x in got.values())
     assert got[3].text == dict(rows)[3]
+
+
+def test_pipeline_on_odd_rows_and_clashing_columns(spark):
+    """Null ids and texts, repeated rows and columns with names of the operators' own; and no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(15)
+    lex = [f"word{k}" for k in range(500)]
+    long = " ".join(r.choices(lex, k=50))
+    rows = [(k, " ".join(r.choices(lex, k=60)), "en", "s", 1, "x", 2) for k in range(12)] + [(None, long, "en", None, None, None, None), (None, long, "en", None, None, None, None), (20, None, None, None, None, "x", 1), (21, "", "en", "s", 0, "x", 1), (3, "?!", "en", "s", 1, "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS + ", node string, language int")
+    at = common.stored_path(spark, "sf")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, at).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(map(str, [*range(12), None]))
+    empty = common.stored_path(spark, "sf")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
