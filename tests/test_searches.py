@@ -76,3 +76,53 @@ def test_batches_against_queues(monkeypatch, row_bytes, elements):
 def test_adjacency_of_the_users_of_a_gigabyte():
     """The users graph of 60 x sf0.1 has 5,868,959 links."""
     assert A.ADJACENCY_EDGES >= 5_868_959
+
+
+
+def test_kernels_of_the_users_of_a_gigabyte():
+    assert storage.KERNEL_EDGES >= 5_868_959
+
+
+def test_kernels_keep_numbers_and_the_order_of_edges(spark):
+    """Edges come by idx whatever the order of rows, as two arrays; unknown ends are left out."""
+    nodes = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "ord long, id string")
+    edges = spark.createDataFrame([(3, "c", "a"), (1, "a", "c"), (2, "a", "gone"), (0, "a", "b")], "idx long, src string, dst string")
+    work = lambda ids, pairs: [(str(ids), str(list(pairs)), f"{pairs.src.dtype} {pairs.rows(3)(0)} {pairs.rows(3, both=True)(0)}")]
+    assert tuple(storage.kernel(nodes, edges, work, "a string, b string, c string").first()) == ("['a', 'b', 'c']", "[(0, 1), (0, 2), (2, 0)]", "int32 [1, 2] [1, 2, 2]")
+
+
+def louvain_by_lists(n, pairs, passes=50):
+    """The moves as written before, counting links anew for each community."""
+    out, into = [[] for _ in range(n)], [[] for _ in range(n)]
+    for a, b in pairs:
+        out[a].append(b)
+        into[b].append(a)
+    near, m = [list(dict.fromkeys([*out[v], *into[v]])) for v in range(n)], len(pairs)
+    k = [len(x) for x in near]
+    home, total = list(range(n)), [float(x) for x in k]
+    links = lambda v, c: sum(1 for w in near[v] if w != v and home[w] == c)
+    for _ in range(passes):
+        moved = False
+        for v in range(n):
+            own, best, gain = home[v], home[v], 0.0
+            for c in dict.fromkeys(home[w] for w in near[v]):
+                g = (links(v, c) - links(v, own)) / (2 * m) - k[v] * (total[c] - (total[own] - k[v])) / (2 * m) ** 2
+                if c != own and g > gain:
+                    best, gain = c, g
+            if best != own:
+                total[own] -= k[v]
+                total[best] += k[v]
+                home[v], moved = best, True
+        if not moved:
+            break
+    names = {}
+    return [names.setdefault(c, len(names)) for c in home]
+
+
+def test_louvain_moves_as_before(spark):
+    """With self-loops and parallel edges, whose counts a community's links must leave out."""
+    for seed in (1, 2):
+        r = random.Random(seed)
+        pairs = [(a := r.randrange(30), r.choice([a, a // 10 * 10 + r.randrange(10), r.randrange(30)])) for _ in range(90)]
+        g = graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in pairs], 30)
+        assert [x.community for x in A.louvain(g).orderBy("id").collect()] == louvain_by_lists(30, pairs)
