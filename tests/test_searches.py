@@ -126,3 +126,14 @@ def test_louvain_moves_as_before(spark):
         pairs = [(a := r.randrange(30), r.choice([a, a // 10 * 10 + r.randrange(10), r.randrange(30)])) for _ in range(90)]
         g = graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in pairs], 30)
         assert [x.community for x in A.louvain(g).orderBy("id").collect()] == louvain_by_lists(30, pairs)
+
+
+
+def test_communities_are_found_once(spark, monkeypatch):
+    """a_clusters reads them three times."""
+    from graphloom.plans import graph_queries
+
+    names, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name="step": names.append(name) or stored(df, name))
+    found = graph_queries._communities(graph(spark, [("a", "b"), ("b", "a"), ("c", "d")])).collect()
+    assert names.count("communities") == 1 and sorted(r.members for r in found) == [["a", "b"], ["c", "d"]]
