@@ -137,3 +137,40 @@ def test_communities_are_found_once(spark, monkeypatch):
     monkeypatch.setattr(storage, "stored", lambda df, name="step": names.append(name) or stored(df, name))
     found = graph_queries._communities(graph(spark, [("a", "b"), ("b", "a"), ("c", "d")])).collect()
     assert names.count("communities") == 1 and sorted(r.members for r in found) == [["a", "b"], ["c", "d"]]
+
+
+
+def cycles_by_lists(n, pairs):
+    after, state, found = [[b for a, b in pairs if a == v] for v in range(n)], [0] * n, []
+    for root in range(n):
+        if state[root]:
+            continue
+        state[root], path, stack = 1, [root], [iter(after[root])]
+        while stack:
+            w = next(stack[-1], None)
+            if w is None:
+                stack.pop()
+                state[path.pop()] = 2
+            elif state[w] == 1:
+                found.append(path[path.index(w) :])
+            elif state[w] == 0:
+                state[w] = 1
+                path.append(w)
+                stack.append(iter(after[w]))
+    return found
+
+
+def test_cycles_are_read_off_the_forest_in_many_tasks(spark, monkeypatch):
+    """Deep and branching forests of several roots, in batches of few ids; only one cycle crosses files."""
+    monkeypatch.setattr(searches, "ELEMENTS", 5)
+    for seed, m in ((1, 30), (2, 70)):
+        r = random.Random(seed)
+        pairs = [(r.randrange(25), r.randrange(25)) for _ in range(m)]
+        g = graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in pairs], 25)
+        rows = A.cycles(g)
+        assert rows.rdd.getNumPartitions() > 1
+        expected = cycles_by_lists(25, pairs)
+        assert [[int(x[1:]) for x in row.path] for row in rows.orderBy("k").collect()] == expected
+        assert [row.k for row in rows.orderBy("k").collect()] == list(range(len(expected))) and all(row.length == len(row.path) for row in rows.collect())
+    g = graph(spark, [("a::x", "a::y"), ("a::y", "a::x"), ("a::y", "b::x"), ("b::x", "a::x")])
+    assert {(len(x.path), x.cross_file) for x in A.cycles(g).collect()} == {(2, False), (3, True)}
