@@ -174,3 +174,17 @@ def test_cycles_are_read_off_the_forest_in_many_tasks(spark, monkeypatch):
         assert [row.k for row in rows.orderBy("k").collect()] == list(range(len(expected))) and all(row.length == len(row.path) for row in rows.collect())
     g = graph(spark, [("a::x", "a::y"), ("a::y", "a::x"), ("a::y", "b::x"), ("b::x", "a::x")])
     assert {(len(x.path), x.cross_file) for x in A.cycles(g).collect()} == {(2, False), (3, True)}
+
+
+
+def test_topological_order_by_rounds(spark):
+    """First in, first out, beyond the kernel's limit too: nodes join the queue at the last edge into them, also among parallel edges."""
+    for seed in (1, 2):
+        r = random.Random(seed)
+        pairs = [tuple(sorted(r.sample(range(14), 2))) for _ in range(24)]
+        pairs += pairs[:3]
+        g = graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in pairs], 14)
+        one, many = ({x.id: x.position for x in A.topological_order(g, limit=limit).collect()} for limit in (100, 5))
+        assert one == many and len(one) == 14
+    for pairs in ([("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("c", "b"), ("d", "a")]):
+        assert A.topological_order(graph(spark, pairs), limit=1).count() == 0
