@@ -70,6 +70,13 @@ class Bpe:
         self.line_end = self.matches("\n")
         self.plain = pattern == PLAIN  # the cuts of encode() are proven for this pattern only
 
+    def forget(self) -> None:
+        """Gives up all that is remembered."""
+        for memory in (self.pieces, self.starts, self.spaced):
+            memory.clear()
+            memory.old = {}
+        self.fits.cache_clear()
+
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
         with open(path, "rb") as f:
@@ -177,11 +184,11 @@ def bpe(path: str, pattern: str) -> Bpe:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, and ids (packed, little-endian unsigned 32 bits) and decoded (bytes) of text. One pass, no shuffle."""
-    return _mapped(docs, path, pattern, keep, "ids binary, decoded binary", lambda ids, data: (ids, data))
+    """The columns of keep, and ids (packed, little-endian unsigned 32 bits) and decoded (bytes) of text. One pass, no shuffle. Tasks forget the encodings that they met, since other operators follow in the same Python workers."""
+    return _mapped(docs, path, pattern, keep, "ids binary, decoded binary", lambda ids, data: (ids, data), forget=True)
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], fields: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], fields: str, row, forget: bool = False) -> DataFrame:
     spark = docs.sparkSession
     common.arrow_batches(spark)
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
@@ -192,13 +199,17 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], fie
         model = bpe(path, pattern)
         types = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
         kinds = [types[x.split()[1]] for x in fields.split(", ")]
-        for batch in batches:
-            made = []
-            for text in batch.column("text"):
-                ids = model.encode(text.as_py() or "")
-                made.append(row(ids, model.decode(ids)))
-            columns = list(zip(*made, strict=True)) if made else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in out], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*[f.name for f in out], *names])
+        try:
+            for batch in batches:
+                made = []
+                for text in batch.column("text"):
+                    ids = model.encode(text.as_py() or "")
+                    made.append(row(ids, model.decode(ids)))
+                columns = list(zip(*made, strict=True)) if made else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in out], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*[f.name for f in out], *names])
+        finally:
+            if forget:
+                model.forget()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
     return rows.mapInArrow(run, f"{kept}, {fields}" if kept else fields)

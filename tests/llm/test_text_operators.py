@@ -560,3 +560,19 @@ def test_toxicity_trains_on_odd_rows(odd, spark):
     rows = toxicity.scored(odd.withColumn("toxic", F.lit(3)).withColumn("score", F.lit("s")), toxicity.train(odd.withColumn("toxic", F.lit(3)), labels)).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.scored(odd.limit(0), toxicity.train(odd.limit(0), labels)).count() == 0
+
+
+def test_tasks_of_the_pipeline_give_up_remembered_encodings(spark, monkeypatch):
+    """Python workers are used again by the operators that follow; digests, which stand alone, keep what they met."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(1, "some words, some words")], "doc_id long, text string")
+    runs, model = [], byte_bpe.bpe(PATH, PATTERN)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: runs.append(f) or self)
+    byte_bpe.digests(df, PATH, PATTERN)
+    byte_bpe.encoded(df, PATH, PATTERN)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words, some words"]})
+    for run, kept in zip(runs, (True, False), strict=True):
+        assert [b.num_rows for b in run(iter([batch]))] == [1]
+        assert bool(model.pieces) == bool(model.spaced) == kept
+    assert not model.fits.cache_info().currsize and not model.pieces.old

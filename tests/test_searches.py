@@ -78,7 +78,6 @@ def test_adjacency_of_the_users_of_a_gigabyte():
     assert A.ADJACENCY_EDGES >= 5_868_959
 
 
-
 def test_kernels_of_the_users_of_a_gigabyte():
     assert storage.KERNEL_EDGES >= 5_868_959
 
@@ -128,7 +127,6 @@ def test_louvain_moves_as_before(spark):
         assert [x.community for x in A.louvain(g).orderBy("id").collect()] == louvain_by_lists(30, pairs)
 
 
-
 def test_communities_are_found_once(spark, monkeypatch):
     """a_clusters reads them three times."""
     from graphloom.plans import graph_queries
@@ -139,7 +137,6 @@ def test_communities_are_found_once(spark, monkeypatch):
     assert names.count("communities") == 1 and sorted(r.members for r in found) == [["a", "b"], ["c", "d"]]
 
 
-
 def cycles_by_lists(n, pairs):
     after, state, found = [[b for a, b in pairs if a == v] for v in range(n)], [0] * n, []
     for root in range(n):
@@ -176,7 +173,6 @@ def test_cycles_are_read_off_the_forest_in_many_tasks(spark, monkeypatch):
     assert {(len(x.path), x.cross_file) for x in A.cycles(g).collect()} == {(2, False), (3, True)}
 
 
-
 def test_topological_order_by_rounds(spark):
     """First in, first out, beyond the kernel's limit too: nodes join the queue at the last edge into them, also among parallel edges."""
     for seed in (1, 2):
