@@ -223,6 +223,43 @@ def test_index_is_exact():
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
 
 
+def test_batches_of_queries_are_exact_and_compare_few(monkeypatch):
+    """Short and long lists, shared lists, examples left out; portions by bound spare most of the examples that the first ones admit."""
+    monkeypatch.setattr(toxicity, "LONG", 40)
+    r = random.Random(11)
+    idf = {f"t{k}": 0.2 + r.random() for k in range(60)} | {f"u{k}": 3.0 for k in range(30)}
+    rows = []
+    for k in range(3000):
+        counts = {t: r.randrange(1, 4) for t in r.sample(range(60), r.randrange(3, 20))}
+        if k % 7 == 0:
+            counts |= dict.fromkeys(range(60 + k % 10 * 3, 63 + k % 10 * 3), 1 + k % 2)  # three terms always together
+        rows.append((str(k), counts, r.randrange(2)))
+    index = toxicity.Index(idf, rows, (3000, 1500))
+    assert len(index.names) == 90 and len(index.cut) - 1 == 70 and all(len(set(index.list_of[60 + k : 63 + k].tolist())) == 1 for k in range(0, 30, 3))
+    number = {i: n for n, i in enumerate(index.ids)}
+    dense = np.zeros((3000, 90))
+    for i, c, _ in rows:
+        t, w = index.vector(c)
+        dense[number[i], t] = w
+    asked = rows[:300]
+    skips = [number[i] if k % 2 else -1 for k, (i, _, _) in enumerate(asked)]
+    compared, products = [], index.products
+    monkeypatch.setattr(index, "products", lambda q, examples: compared.append(len(examples)) or products(q, examples))
+    got = index.nearest([index.query(*index.vector(c)) for _, c, _ in asked], skips=skips)
+    for (i, _, _), near, skip in zip(asked, got, skips, strict=True):
+        scores = dense @ dense[number[i]]
+        if skip >= 0:
+            scores[skip] = 0
+        assert [round(s, 9) for s, _ in near] == np.sort(scores)[::-1][: toxicity.K].round(9).tolist()
+        assert all(abs(scores[n] - s) < 1e-9 for s, n in near)
+    assert sum(compared) < 300 * 3000 / 2 and max(compared) > toxicity.FIRST
+
+
+def test_words_of_latin_1_are_those_of_the_pattern():
+    texts = ["", "a\x85b\xa0c\x1cd", "Ünïcode straße² 1a_b ªº×÷", "".join(f"{chr(c)}x{chr(c)}" for c in range(256)), "İK œuvre", "".join(map(chr, range(0x250)))]
+    assert all(toxicity.words_of(t) == toxicity.WORDS.findall(t.lower()) for t in texts)
+
+
 def test_toxicity_learns_only_from_training_rows(spark):
     r = random.Random(2)
     words = ["river", "stone", "house", "garden", "window", "music", "paper", "bread"]
