@@ -7,6 +7,7 @@ import pytest
 
 from graphloom import storage
 from graphloom.operators import algorithms as A
+from graphloom.operators import blocks
 from graphloom.operators import searches
 from graphloom.operators import traversal as T
 
@@ -73,6 +74,56 @@ def test_batches_against_queues(monkeypatch, row_bytes, elements):
         assert searches.dependencies(g, np.arange(n)) == pytest.approx(total)
 
 
+def by_blocks(pairs, n):
+    """Betweenness by blocks and places that search for others, and how often an edge may be met: edges of a block times its sources."""
+    s, d = np.array([x for x in pairs if x[0] != x[1]], np.int64).reshape(-1, 2).T
+    pieces = blocks.split(*searches.compressed(s, d, n))
+    how = blocks.shared(pieces)
+    sources, parts = blocks.portions(pieces, how)
+    total, reached, back, work = np.zeros(len(pieces.node)), pieces.found.copy(), np.zeros(len(pieces.node), bool), 0
+    for lo, hi, a, b in parts:
+        g = searches.Adjacency(pieces.starts[lo : hi + 1] - pieces.starts[lo], pieces.targets[pieces.starts[lo] : pieces.starts[hi]] - np.int32(lo))
+        v, w, x = searches.weighted_dependencies(g, sources[a:b] - lo, how.size[lo:hi], pieces.found[lo:hi], how.by[lo:hi] - lo, how.size[lo:hi])
+        total[lo:hi] += v
+        reached[sources[a:b]] = w
+        back[lo:hi] |= x
+        work += (b - a) * len(g.targets)
+    return blocks.complete(pieces, how, total, reached, back), work
+
+
+@pytest.mark.parametrize("together, reach, matrix", [(512, 1 << 34, 3000), (1, 1 << 34, 0), (4, 0, 3000)])
+def test_betweenness_by_blocks_against_queues(monkeypatch, together, reach, matrix):
+    """Graphs with bridges, one-way parts, circles, parallel edges and self-loops; small blocks apart and together, or the graph whole."""
+    monkeypatch.setattr(blocks, "TOGETHER", together)
+    monkeypatch.setattr(blocks, "REACH", reach)
+    monkeypatch.setattr(searches, "MATRIX_NODES", matrix)
+    r = random.Random(8)
+    for turn in range(60):
+        n = r.randrange(1, 16)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2 * n + 1))]
+        if turn % 2:
+            pairs = [(a, min(n - 1, a + r.randrange(3))) if r.random() < 0.7 else (min(n - 1, a + 1), a) for a, _ in pairs]
+        assert by_blocks(pairs, n)[0] == pytest.approx(naive(pairs, n)[1])
+    circle = [(k, (k + 1) % 9) for k in range(9)]
+    assert by_blocks([*circle, (9, 3), (10, 9)], 11)[0] == pytest.approx(naive([*circle, (9, 3), (10, 9)], 11)[1])
+
+
+def test_betweenness_takes_few_searches(spark, monkeypatch):
+    """Copies one after the other are searched by themselves, and long ways without forks by their ends. Before, all edges were met from all nodes."""
+    monkeypatch.setattr(blocks, "TOGETHER", 1)
+    r = random.Random(9)
+    one = [(k, (k + 1) % 20) for k in range(20)] + [(r.randrange(20), r.randrange(20)) for _ in range(60)]
+    chain = [(a + 20 * k, b + 20 * k) for k in range(12) for a, b in one] + [(20 * k + 19, 20 * k + 20) for k in range(11)]
+    got, work = by_blocks(chain, 240)
+    assert got == pytest.approx(naive(chain, 240)[1]) and work * 10 < 240 * len(chain)
+    ways = [(a + 200, b) for a, b in one] + [(a + 20 * k, a + 20 * k + 20) for k in range(10) for a in range(20)]
+    got, work = by_blocks(ways, 220)
+    assert got == pytest.approx(naive(ways, 220)[1]) and work * 10 < 220 * len(ways)
+    g = graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in ways], 220)
+    found = {x.id: x.betweenness for x in A.betweenness(g).collect()}
+    assert [found[f"v{k:02d}"] * 219 * 218 for k in range(220)] == pytest.approx(got)
+
+
 def test_adjacency_of_the_users_of_a_gigabyte():
     """The users graph of 60 x sf0.1 has 5,868,959 links."""
     assert A.ADJACENCY_EDGES >= 5_868_959
