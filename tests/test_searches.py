@@ -124,6 +124,15 @@ def test_betweenness_takes_few_searches(spark, monkeypatch):
     assert [found[f"v{k:02d}"] * 219 * 218 for k in range(220)] == pytest.approx(got)
 
 
+def test_bottlenecks_search_once(spark):
+    """Bottlenecks read betweenness twice; their plan holds no search, before it held two."""
+    pairs = [(k, (k + 1) % 6) for k in range(6)] + [(0, 6), (6, 7), (7, 8), (8, 9), (9, 7), (3, 0)]
+    found = A.bottlenecks(A.betweenness(graph(spark, [(f"v{a:02d}", f"v{b:02d}") for a, b in pairs], 10)), 1.0)
+    assert "MapIn" not in found._jdf.queryExecution().toString()
+    x = naive(pairs, 10)[1] / 72
+    assert {r.id: r.betweenness for r in found.collect()} == pytest.approx({f"v{k:02d}": x[k] for k in range(10) if x[k] > x.mean() + x.std()})
+
+
 def test_adjacency_of_the_users_of_a_gigabyte():
     """The users graph of 60 x sf0.1 has 5,868,959 links."""
     assert A.ADJACENCY_EDGES >= 5_868_959
