@@ -133,6 +133,13 @@ def test_bottlenecks_search_once(spark):
     assert {r.id: r.betweenness for r in found.collect()} == pytest.approx({f"v{k:02d}": x[k] for k in range(10) if x[k] > x.mean() + x.std()})
 
 
+def test_centrality_stats_of_a_chain(spark):
+    """All blocks of a chain are single links, which need no search: before, there was one from each node, in tasks that were part of the plan."""
+    stats = A.centrality_stats(A.betweenness(graph(spark, [(f"v{k:02d}", f"v{k + 1:02d}") for k in range(29)])))
+    x = np.array([k * (29 - k) / (29 * 28) for k in range(30)])
+    assert "MapIn" not in stats._jdf.queryExecution().toString() and tuple(stats.first()) == pytest.approx((x.mean(), x.std()))
+
+
 def test_adjacency_of_the_users_of_a_gigabyte():
     """The users graph of 60 x sf0.1 has 5,868,959 links."""
     assert A.ADJACENCY_EDGES >= 5_868_959
